@@ -77,7 +77,7 @@ def _replay(columns: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the last key's state: its changes may go on in the next batch
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
+            rows = pa.Table.from_arrays(batch.columns, batch.schema.names)  # all nullable, as states are
             state = merge_states(pa.concat_tables([held, rows]) if held is not None else rows, columns)
             if state.num_rows > 1:
                 yield from state.slice(0, state.num_rows - 1).combine_chunks().to_batches()
