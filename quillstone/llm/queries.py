@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstone.llm import lookalike
+from quillstone.llm import lookalike, nearest
 from quillstone.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -30,3 +30,8 @@ def p5_found(spark, d):
 def p5_forms(spark, d):
     rows = _looked_at(spark, d)
     return rows.select("field_name", "id", lookalike.canonical_text(F.col("text")).alias("form"), lookalike.script_finding(F.col("text")).alias("script_finding"))
+
+
+@_query
+def p4_found(spark, d):
+    return nearest.neighbour_pairs(nearest.nearest(table(spark, d, "vectors")))
