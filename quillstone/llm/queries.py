@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstone.llm import lookalike, nearest
+from quillstone.llm import lookalike, nearest, spans
 from quillstone.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -35,3 +35,13 @@ def p5_forms(spark, d):
 @_query
 def p4_found(spark, d):
     return nearest.neighbour_pairs(nearest.nearest(table(spark, d, "vectors")))
+
+
+@_query
+def p8_found(spark, d):
+    return spans.shared_spans(table(spark, d, "documents"))
+
+
+@_query
+def p8_shares(spark, d):
+    return spans.shared_shares(table(spark, d, "documents"))
