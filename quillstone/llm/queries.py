@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstone.llm import lookalike, nearest, spans
+from quillstone.llm import languages, lookalike, nearest, spans
 from quillstone.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -45,3 +45,17 @@ def p8_found(spark, d):
 @_query
 def p8_shares(spark, d):
     return spans.shared_shares(table(spark, d, "documents"))
+
+
+def _segments(spark, d):
+    return languages.segments(table(spark, d, "products"), table(spark, d, "product_langs"), ["title", "description"])
+
+
+@_query
+def p3_found(spark, d):
+    return languages.mislabelled(_segments(spark, d), table(spark, d, "product_langs")).select("product_id", "field_name", "segment_no", "lang")
+
+
+@_query
+def p3_segments(spark, d):
+    return _segments(spark, d)
