@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstone.llm import languages, lookalike, nearest, spans
+from quillstone.llm import languages, lookalike, nearest, overlap, spans
 from quillstone.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -59,3 +59,14 @@ def p3_found(spark, d):
 @_query
 def p3_segments(spark, d):
     return _segments(spark, d)
+
+
+@_query
+def p2_found(spark, d):
+    pairs = overlap.cross_split_pairs(table(spark, d, "products"), table(spark, d, "placeholder_images"))
+    return pairs.select(F.least("train_id", "other_id").alias("id_a"), F.greatest("train_id", "other_id").alias("id_b")).distinct()
+
+
+@_query
+def p2_report(spark, d):
+    return overlap.overlap_report(table(spark, d, "products"), table(spark, d, "placeholder_images"))
