@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstone.llm import languages, lookalike, nearest, overlap, spans
+from quillstone.llm import languages, lookalike, nearest, overlap, packing, spans
 from quillstone.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -70,3 +70,13 @@ def p2_found(spark, d):
 @_query
 def p2_report(spark, d):
     return overlap.overlap_report(table(spark, d, "products"), table(spark, d, "placeholder_images"))
+
+
+@_query
+def p6_packed(spark, d):
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+@_query
+def p6_report(spark, d):
+    return packing.packing_report(packing.pack_documents(table(spark, d, "documents")))
