@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstone.llm import languages, lookalike, nearest, overlap, packing, spans
+from quillstone.llm import languages, lookalike, mixture, nearest, overlap, packing, spans
 from quillstone.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -80,3 +80,23 @@ def p6_packed(spark, d):
 @_query
 def p6_report(spark, d):
     return packing.packing_report(packing.pack_documents(table(spark, d, "documents")))
+
+
+def _mix(spark, d):
+    corpus = mixture.lay_out(mixture.sized_documents(table(spark, d, "documents")))
+    return corpus, mixture.plan(corpus, table(spark, d, "mix_targets"))
+
+
+@_query
+def p7_mix(spark, d):
+    return mixture.mixed_documents(*_mix(spark, d))
+
+
+@_query
+def p7_shares(spark, d):
+    return mixture.share_report(*_mix(spark, d))
+
+
+@_query
+def p7_blocks(spark, d):
+    return mixture.mixed_blocks(*_mix(spark, d))
