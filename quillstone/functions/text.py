@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 TOKEN = r"[一-鿿]|[a-z0-9]+"
 LATIN_TERM = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 CJK = r"[一-鿿]"
-WIDE = r"[㐀-䶿一-鿿豈-﫿぀-ヿ가-힯]"
+WIDE = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]"
 COMPARE_WORDS = ("对比", "比较", "区别")
 INVENTORY_WORDS = ("库存", "有货", "现货")
 BUDGETS = (r"(\d+(?:\.\d+)?)\s*元\s*(?:以内|以下|之内)", r"预算\s*(?:为|是|不超过|低于)?\s*(\d+(?:\.\d+)?)", r"(?:不超过|低于|小于)\s*(\d+(?:\.\d+)?)\s*元?")
