@@ -50,7 +50,9 @@ def packed(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
 def _scorer(k: int, metric: str, decimals: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for qi, qx, ri, rx, d in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for qi, qx, ri, rx, d, rd in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if d != rd:
+                    continue
                 q, r = (np.frombuffer(b).reshape(-1, d) for b in (qx, rx))
                 qids, rids = np.frombuffer(qi, "<i8"), np.frombuffer(ri, "<i8")
                 s = q @ r.T if metric == "ip" else -((q**2).sum(1)[:, None] - 2 * q @ r.T + (r**2).sum(1))
@@ -74,7 +76,8 @@ def exact_search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: st
     Scores are rounded before they are ranked; ties go to the lower id. metric: ip (inner product) or l2 (minus squared distance).
     """
     q, r = packed(queries, 512).toDF("qi", "qx", "d"), packed(vectors).toDF("ri", "rx", "rd")
-    pairs = q.repartition(8).join(r, q["d"] == r["rd"]).select("qi", "qx", "ri", "rx", "d")
+    # A stated query set against all rows, block by block; an equi-join on the dimension would send all blocks to one task.
+    pairs = r.crossJoin(q).select("qi", "qx", "ri", "rx", "d", "rd")
     found = pairs.mapInArrow(_scorer(k, metric, decimals), "query_id long, vec_id long, score double")
     return top_k(found, ["query_id"], [F.desc("score"), F.asc("vec_id")], k).select("query_id", "rank", "vec_id", "score")
 
@@ -178,7 +181,7 @@ def pq_search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 5
 
     rows = vectors.toDF("id", "v").where("id is not null and v is not null and size(v) > 0").select(F.col("id").cast("long"), F.col("v").cast("array<double>"))
     coded, asked = rows.mapInArrow(code, "ri binary, codes binary"), packed(queries, 256).toDF("qi", "qx", "d")
-    coarse = asked.join(coded, F.length("qi") > 0).select("qi", "qx", "d", "ri", "codes").mapInArrow(look_up, "query_id long, vec_id long, score double")
+    coarse = coded.crossJoin(asked).select("qi", "qx", "d", "ri", "codes").mapInArrow(look_up, "query_id long, vec_id long, score double")
     coarse = top_k(coarse, ["query_id"], [F.desc("score"), F.asc("vec_id")], candidates)
     return rerank_exact(coarse, vectors, queries, k)
 

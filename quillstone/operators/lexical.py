@@ -83,7 +83,8 @@ def allowed(hits: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     """hits(query_id, doc_id, …) that pass their query's filters: max_value (docs.value, inclusive), category (part of
     docs.category, any case; empty is off) and excluded (array of doc_ids). Null filters are off; filters come before any cut."""
     joined = hits.join(docs.select("doc_id", "value", "category"), "doc_id").join(queries.select("query_id", "max_value", F.col("category").alias("q_category"), "excluded"), "query_id")
-    fits = (F.col("max_value").isNull() | (F.col("value") <= F.col("max_value"))) & (F.coalesce(F.col("q_category"), F.lit("")) == "").__or__(F.contains(F.lower("category"), F.lower("q_category")))
+    fits = F.col("max_value").isNull() | (F.col("value") <= F.col("max_value"))
+    fits &= (F.coalesce(F.col("q_category"), F.lit("")) == "") | F.contains(F.lower("category"), F.lower("q_category"))
     return joined.where(fits & ~F.coalesce(F.array_contains("excluded", F.col("doc_id")), F.lit(False))).drop("value", "category", "max_value", "q_category", "excluded")
 
 
