@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate, takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +15,6 @@ from quillstone.functions import text as X
 
 IDS, OUT, LAST = (re.compile(p.removeprefix("(?i)"), re.IGNORECASE) for p in (X.PRODUCT_ID, X.EXCLUDED_ID, X.EXCLUDED_LAST))
 WIDE = re.compile("[㐀-䶿一-鿿豈-﫿぀-ヿ가-힯]")
-MIN_TAIL = 32
 
 
 def slots(turns: DataFrame, session: str = "session_id", turn: str = "turn", text: str = "text") -> DataFrame:
@@ -72,30 +73,27 @@ def estimate(text: str) -> int:
 
 
 def compress(turns: list[str], usable: int, keep: int = 6, head: str = "") -> tuple[list[str], list[str], int]:
-    """(kept turns, summaries of folded ones, tokens): old turns are folded, then summaries dropped, then turns dropped,
-    and at last the latest turn is cut, so that the tokens never exceed usable (but for the head alone)."""
-    kept, folded = list(turns), []
-
-    def top() -> int:
-        return estimate(head + (" ".join(folded) if folded else ""))
-
-    def total() -> int:
-        return top() + sum(map(estimate, kept))
-
-    while len(kept) > keep and total() > usable:
-        folded.append(kept.pop(0)[:60])
-    while len(folded) > 1 and total() > usable:
-        folded.pop(0)
-    while len(kept) > 1 and total() > usable:
-        kept.pop(0)
-    room = usable - top()
-    if kept and estimate(kept[-1]) > room >= MIN_TAIL:
-        text = kept[-1]
-        text = text[: max(1, int(len(text) * room / estimate(text) * 0.9))]
-        while text and estimate(text + "…") > room:
-            text = text[: int(len(text) * 0.8)]
-        kept[-1] = text + "…"
-    return kept, folded, total()
+    """(kept turns, summaries, tokens) of at most usable tokens with the head.
+
+    If all turns fit, all are kept. Else the latest ones are, up to keep, as far as they fit; what room is left goes to
+    the first characters of the turns before them, latest first. A last turn that doesn't fit alone is cut to what does.
+    """
+    room = max(0, usable - estimate(head))
+    costs = [estimate(t) for t in turns]
+    if sum(costs) <= room:
+        return list(turns), [], sum(costs) + estimate(head)
+    fits = list(takewhile(lambda used: used <= room, accumulate(reversed(costs))))[:keep]
+    if not fits and turns:
+        last = turns[-1]
+        size = bisect_right(range(len(last) + 1), room, key=lambda n: estimate(last[:n] + "…")) - 1
+        kept = [last[:size] + "…"] if size > 0 else []
+    else:
+        kept = list(turns[len(turns) - len(fits) :])
+    left = room - sum(map(estimate, kept))
+    openings = [t[:60] for t in reversed(turns[: len(turns) - max(1, len(fits))])]
+    few = bisect_right(range(len(openings) + 1), left, key=lambda n: estimate(" ".join(openings[:n]))) - 1
+    summaries = openings[: max(0, few)][::-1]
+    return kept, summaries, estimate(head) + estimate(" ".join(summaries)) + sum(map(estimate, kept))
 
 
 def context_windows(turns: DataFrame, usable: int, keep: int = 6, session: str = "session_id", turn: str = "turn", text: str = "text") -> DataFrame:
