@@ -41,7 +41,7 @@ def analyze(text: Column) -> Column:
     low = F.lower(text)
     chars = found(low, CJK)
     n = F.greatest(F.size(chars) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), F.concat)
+    pairs = F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda a, b: F.concat(a, b))
     return F.coalesce(F.concat(found(low, LATIN_TERM), chars, F.when(F.size(chars) > 1, pairs).otherwise(F.array().cast("array<string>"))), F.array().cast("array<string>"))
 
 

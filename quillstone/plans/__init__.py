@@ -1,6 +1,6 @@
 """All core queries; importing a module registers its queries."""
 
-from quillstone.plans import maintenance  # noqa: F401
+from quillstone.plans import maintenance, retrieval, text  # noqa: F401
 from quillstone.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
