@@ -33,8 +33,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 def _packer(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, size):
-                part = batch.slice(i, size)
+            lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            for d, i in ((d, i) for d in np.unique(lengths) for i in range(0, int((lengths == d).sum()), size)):
+                part = batch.take(pa.array(np.flatnonzero(lengths == d)[i : i + size]))
                 x = _matrix(part.column(1))
                 yield pa.record_batch([pa.array([part.column(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()]), pa.array([x.tobytes()]), pa.array([x.shape[1]], pa.int32())], names=["ids", "x", "d"])
 
@@ -42,7 +43,7 @@ def _packer(size: int):
 
 
 def packed(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Blocks (ids, x, d) of rows (id long, vector); null vectors are left out, all others have one length."""
+    """Blocks (ids, x, d) of rows (id long, vector) with vectors of one length d; null and empty vectors are left out."""
     rows = vectors.toDF("id", "v").where("id is not null and v is not null and size(v) > 0")
     return rows.select(F.col("id").cast("long"), F.col("v").cast("array<double>")).mapInArrow(_packer(size), "ids binary, x binary, d int")
 
