@@ -87,7 +87,8 @@ def localized_pick(values: Column, languages: list[str]) -> Column:
     """The first non-empty value in the order of languages, else the first non-empty one, else ''."""
     filled = F.filter(values, lambda v: F.coalesce(v["value"], F.lit("")) != "")
     first = lambda a: F.get(a, F.lit(0))["value"]
-    return F.coalesce(*(first(F.filter(filled, lambda v, tag=tag: v["language_tag"] == tag)) for tag in languages), first(filled), F.lit(""))
+    of = lambda tag: F.filter(filled, lambda v: v["language_tag"] == tag)
+    return F.coalesce(*(first(of(tag)) for tag in languages), first(filled), F.lit(""))
 
 
 def localized_join(values: Column, languages: list[str]) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillstone.operators import changefeed
 from quillstone.plans.registry import query
-from quillstone.session import table
+from quillstone.session import checkpoint_dir, table
 
 _VALID = """valid as (
   select *, lower(trim(op)) as op2 from catalog_changes
@@ -56,3 +59,37 @@ def changes_since(spark, d):
     changes = table(spark, d, "catalog_changes")
     newest = changes.agg((F.max("seq") - 1000).alias("mark"))
     return changes.join(F.broadcast(newest), F.col("seq") > F.col("mark")).select("log_pos", "seq", "op", "product_id")
+
+
+def _stream(spark, d, name):
+    path = f"{d}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    # A table is one file of the folder, or a folder of its own.
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d) if os.path.isfile(path) else reader.parquet(path)
+
+
+@query("stream_changes_L1", f"with {_VALID} select product_id, seq, log_pos from latest where op2 <> 'delete'")
+def stream_changes(spark, d):
+    from quillstone.streaming import feeds
+
+    at = f"{checkpoint_dir(spark)}/feed-{uuid.uuid4().hex}"
+    feeds.stream_changes(_stream(spark, d, "catalog_changes").repartition(8), f"{at}/state", f"{at}/progress").awaitTermination()
+    state = spark.read.parquet(f"{at}/state/*").where("__live")
+    return state.select(F.col("__key").alias("product_id"), F.col("__seq").alias("seq"), F.col("__pos").alias("log_pos"))
+
+
+@query("stream_sessions_L2")
+def stream_sessions(spark, d):
+    from quillstone.streaming import feeds
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", feeds.ROCKS)
+    at = f"{checkpoint_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    number = F.element_at(F.split("id", "-", 2), -1).cast("long")
+    turns = _stream(spark, d, "planner_test").select(F.floor(number / 10).cast("string").alias("session_id"), (number % 10).alias("turn"), F.col("query").alias("text"))
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    feeds.stream_sessions(turns).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").drop("batch")

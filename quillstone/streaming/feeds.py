@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -56,6 +58,8 @@ class SessionProcessor(StatefulProcessor):
 
 def stream_sessions(turns: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """(session_id, turns, seen, excluded) after each batch of a streamed turns(session_id, turn, text); needs the RocksDB state store."""
+    # The process that sets up the state doesn't get shipped files, so the processor travels with its code.
+    cloudpickle.register_pickle_by_value(sys.modules["quillstone"])
     return turns.groupBy("session_id").transformWithStateInPandas(SessionProcessor(ttl_ms), "session_id string, turns long, seen array<string>, excluded array<string>", "Update", "None")
 
 
