@@ -132,18 +132,19 @@ def apply_changes(base: DataFrame, changes: DataFrame, partial_updates: bool = F
     feed = valid_changes(changes).withColumn("__op", plain(F.col("op")))
     payload = [F.col("product")[f] for f in fields] if partial_updates else [F.col("product")]
     state = replay(feed, "product_id", F.col("__op") != DELETE_OP, payload)
-    whole = base.join(state, base["id"] == state["__key"], "full_outer").where(F.col("__live").isNull() | F.col("__live"))
-    changed = F.col("__key").isNotNull()
+    # Columns are named through their tables, as base may have columns of the same names.
+    whole = base.join(state, base["id"] == state["__key"], "full_outer").where(state["__live"].isNull() | state["__live"])
+    changed = state["__key"].isNotNull()
 
     def value(name: str) -> Column:
         if name == "id":
-            return F.coalesce(F.col("__key"), base["id"])
+            return F.coalesce(state["__key"], base["id"])
         if name not in fields:
             return base[name]
         if not partial_updates:
-            return F.when(changed, F.col("__v0")[name]).otherwise(base[name])
+            return F.when(changed, state["__v0"][name]).otherwise(base[name])
         i = fields.index(name)
-        return F.when(F.col(f"__s{i}").isNotNull(), F.col(f"__v{i}")).when(changed & F.col("__dseq").isNotNull(), F.lit(None)).otherwise(base[name])
+        return F.when(state[f"__s{i}"].isNotNull(), state[f"__v{i}"]).when(changed & state["__dseq"].isNotNull(), F.lit(None)).otherwise(base[name])
 
     return whole.select(*(value(c).alias(c) for c in base.columns))
 

@@ -91,5 +91,6 @@ def stream_sessions(spark, d):
     def keep(batch, number):
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
-    feeds.stream_sessions(turns).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
+    with feeds.carried_code():
+        feeds.stream_sessions(turns).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/out").drop("batch")

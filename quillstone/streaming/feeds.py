@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
@@ -33,6 +34,17 @@ def stream_changes(changes: DataFrame, state_path: str, checkpoint: str):
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+@contextmanager
+def carried_code() -> Iterator[None]:
+    """While it is open, functions travel with their code: the process that sets up state doesn't get shipped files."""
+    package = sys.modules["quillstone"]
+    cloudpickle.register_pickle_by_value(package)
+    try:
+        yield
+    finally:
+        cloudpickle.unregister_pickle_by_value(package)
+
+
 class SessionProcessor(StatefulProcessor):
     """Folds the turns of a session as they come; state is kept for each session and expires if asked to."""
 
@@ -58,8 +70,6 @@ class SessionProcessor(StatefulProcessor):
 
 def stream_sessions(turns: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """(session_id, turns, seen, excluded) after each batch of a streamed turns(session_id, turn, text); needs the RocksDB state store."""
-    # The process that sets up the state doesn't get shipped files, so the processor travels with its code.
-    cloudpickle.register_pickle_by_value(sys.modules["quillstone"])
     return turns.groupBy("session_id").transformWithStateInPandas(SessionProcessor(ttl_ms), "session_id string, turns long, seen array<string>, excluded array<string>", "Update", "None")
 
 
