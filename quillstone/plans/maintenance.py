@@ -74,8 +74,10 @@ def stream_changes(spark, d):
     from quillstone.streaming import feeds
 
     at = f"{checkpoint_dir(spark)}/feed-{uuid.uuid4().hex}"
-    feeds.stream_changes(_stream(spark, d, "catalog_changes").repartition(8), f"{at}/state", f"{at}/progress").awaitTermination()
-    state = spark.read.parquet(f"{at}/state/*").where("__live")
+    run = feeds.stream_changes(_stream(spark, d, "catalog_changes"), f"{at}/state", f"{at}/progress")
+    run.awaitTermination()
+    last = max(p["batchId"] for p in run.recentProgress if p["numInputRows"])
+    state = spark.read.parquet(f"{at}/state/{last}").where("__live")
     return state.select(F.col("__key").alias("product_id"), F.col("__seq").alias("seq"), F.col("__pos").alias("log_pos"))
 
 
