@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,8 +42,3 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A driver table in the given folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def spill_cache(df: DataFrame) -> DataFrame:
-    """Keeps df on the executors, on disk where memory is short; it is recomputed if an executor is lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
