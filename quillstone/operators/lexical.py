@@ -22,7 +22,7 @@ K1, B = 1.5, 0.75
 
 @dataclass
 class Index:
-    """postings(term, doc_id, tf), terms(term, df, idf), docs(doc_id, dl, …) and stats(n, avgdl): one row."""
+    """postings(term, doc_id, dl, tf), terms(term, df, idf), docs(doc_id, dl, …) and stats(n, avgdl): one row."""
 
     postings: DataFrame
     terms: DataFrame
@@ -56,7 +56,9 @@ def bm25_idf(n: Column, df: Column) -> Column:
 
 def build_index(docs: DataFrame, key: str, terms: Column, keep: list[str] = ()) -> Index:
     """The index of docs; those without terms count in the averages. keep: columns to carry in docs. Keys are unique."""
-    postings = term_frequencies(docs, key, terms)
+    # Each posting carries its document's length, so that scoring needs no join of all postings with the documents.
+    spread = docs.select(F.col(key).alias("doc_id"), terms.alias("terms")).select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    postings = spread.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     sized = docs.select(F.col(key).alias("doc_id"), F.size(terms).alias("dl"), *keep)
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
     frequent = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -73,7 +75,7 @@ def bm25_scores(index: Index, wanted: DataFrame, k1: float = K1, b: float = B) -
     """(query_id, doc_id, score) of all documents that share a term with a query of wanted(query_id, term, qtf)."""
     if k1 < 0 or not 0 <= b <= 1:
         raise ValueError("k1 is at least 0 and b between 0 and 1")
-    weighted = index.postings.join(index.docs.select("doc_id", "dl"), "doc_id").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    weighted = index.postings.crossJoin(F.broadcast(index.stats.select("avgdl")))
     weight = F.col("tf") * (k1 + 1) / F.greatest(F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")), F.lit(1e-12))
     hits = wanted.join(index.terms.select("term", "idf"), "term").join(weighted.select("term", "doc_id", weight.alias("w")), "term")
     return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * F.col("w") * F.col("qtf")).alias("score"))

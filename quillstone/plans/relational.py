@@ -54,9 +54,9 @@ def best_by_rating(spark, d):
     return rows.groupBy("category").agg(F.max_by("id", F.struct("rating", -F.col("price"), -F.col("row_id"))).alias("best"))
 
 
-@query("category_counts_E27", "select category, count(*) as products, count(distinct source) as sources, avg(price) as mean_price, round(quantile_cont(price, 0.5), 4) as median_price from products group by category")
+@query("category_counts_E27", "select category, count(*) as products, count(distinct source) as sources, round(sum(round(price * 100)) / count(price) / 100, 6) as mean_price, round(quantile_cont(price, 0.5), 4) as median_price from products group by category")
 def category_counts(spark, d):
-    return table(spark, d, "products").groupBy("category").agg(F.count(F.lit(1)).alias("products"), F.countDistinct("source").alias("sources"), F.avg("price").alias("mean_price"), F.round(F.percentile("price", 0.5), 4).alias("median_price"))
+    return table(spark, d, "products").groupBy("category").agg(F.count(F.lit(1)).alias("products"), F.countDistinct("source").alias("sources"), F.round(F.sum(F.round(F.col("price") * 100)) / F.count("price") / 100, 6).alias("mean_price"), F.round(F.percentile("price", 0.5), 4).alias("median_price"))
 
 
 @query("dataset_summary_E13", "select count(*) as products, count(distinct image_sha256) as images, count(image_sha256) - count(distinct image_sha256) as repeated_images, count(*) filter (split = 'train') as train, count(*) filter (split = 'validation') as validation, count(*) filter (split = 'test') as test from products")

@@ -65,7 +65,7 @@ def baseline_ranked(spark, d, k):
 
 @query("term_freq_E1", f"with {INDEX} select doc_id, term, tf from postings")
 def term_freq(spark, d):
-    return index(spark, d).postings
+    return index(spark, d).postings.select("doc_id", "term", "tf")
 
 
 @query("doc_freq_idf_E2_B11", f"with {INDEX} select term, df, round(idf, 6) as idf from terms")
