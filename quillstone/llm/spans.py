@@ -219,8 +219,8 @@ def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text",
     wanted = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
     pieces = likely.join(wanted, "doc").select("doc", "text", "runs").mapInArrow(_piece_rows(length), ROW)
     by_doc = Window.partitionBy("doc").orderBy("start")
-    starts = _in_two(pieces).select("doc", "start").distinct()
-    islands = starts.withColumn("new", F.coalesce(F.col("start") - F.lag("start").over(by_doc) > length, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(by_doc))
+    # Rows of one id repeat their starts; the lag of such a row is 0, so they need no distinct().
+    islands = _in_two(pieces).select("doc", "start").withColumn("new", F.coalesce(F.col("start") - F.lag("start").over(by_doc) > length, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(by_doc))
     spans = islands.groupBy("doc", "island").agg(F.min("start").cast("int").alias("start_char"), (F.max("start") + length).cast("int").alias("end_char"))
     return spans.select(F.col("doc").alias("doc_id"), "start_char", "end_char")
 
