@@ -39,10 +39,14 @@ def analyze(text: Column) -> Column:
     """Terms for ranking: Latin runs with inner dots and hyphens, Han characters, and pairs of consecutive Han characters
     (across whatever stands between them); empty for a null."""
     low = F.lower(text)
-    chars = found(low, CJK)
-    n = F.greatest(F.size(chars) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda a, b: F.concat(a, b))
-    return F.coalesce(F.concat(found(low, LATIN_TERM), chars, F.when(F.size(chars) > 1, pairs).otherwise(F.array().cast("array<string>"))), F.array().cast("array<string>"))
+
+    def with_pairs(chars: Column) -> Column:
+        n = F.greatest(F.size(chars) - 1, F.lit(0))
+        return F.concat(chars, F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda a, b: F.concat(a, b)))
+
+    # The one-element array binds the characters to a name, so that the pattern runs once.
+    han = F.get(F.transform(F.array(found(low, CJK)), with_pairs), F.lit(0))
+    return F.coalesce(F.concat(found(low, LATIN_TERM), han), F.array().cast("array<string>"))
 
 
 def attribute_text(attributes: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.ranking import top_k
+from quillstone.session import spread
 
 BLOCK = 4096
 #: Rows that centroids and codebooks are fitted on, about.
@@ -44,10 +45,24 @@ def _packer(size: int):
 
 def packed(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
     """Blocks (ids, x, d) of rows (id long, vector) with vectors of one length d; null and empty vectors are left out."""
-    rows = vectors.toDF("id", "v").where("id is not null and v is not null and size(v) > 0")
+    rows = spread(vectors.toDF("id", "v")).where("id is not null and v is not null and size(v) > 0")
     return rows.select(F.col("id").cast("long"), F.col("v").cast("array<double>")).mapInArrow(_packer(size), "ids binary, x binary, d int")
 
 
+def best(s: np.ndarray, qids: np.ndarray, rids: np.ndarray, k: int, decimals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, rounded score) of each row's k best scores, its own id left out; ties after rounding go to the lower id."""
+    s[qids[:, None] == rids[None, :]] = -np.inf
+    n = s.shape[1]
+    floor = np.partition(s, n - k, axis=1)[:, n - k] - 10.0**-decimals if n > k else np.full(len(s), -np.inf)
+    row, at = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
+    score = np.round(s[row, at], decimals)
+    order = np.lexsort((rids[at], -score, row))
+    row, at, score = row[order], at[order], score[order]
+    start = np.flatnonzero(np.append(True, np.diff(row) != 0)) if len(row) else np.zeros(0, np.int64)
+    keep = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row)))) < k
+    return row[keep], at[keep], score[keep]
+
+
 def _scorer(k: int, metric: str, decimals: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,16 +72,8 @@ def _scorer(k: int, metric: str, decimals: int):
                 q, r = (np.frombuffer(b).reshape(-1, d) for b in (qx, rx))
                 qids, rids = np.frombuffer(qi, "<i8"), np.frombuffer(ri, "<i8")
                 s = q @ r.T if metric == "ip" else -((q**2).sum(1)[:, None] - 2 * q @ r.T + (r**2).sum(1))
-                s = np.round(s, decimals)
-                s[qids[:, None] == rids[None, :]] = -np.inf
-                n = min(k, s.shape[1])
-                # Ties at the cut go to the lower id, so rows stand in the order of ids.
-                order = np.argsort(rids, kind="stable")
-                top = np.argsort(-s[:, order], axis=1, kind="stable")[:, :n]
-                row = np.repeat(np.arange(len(qids)), n)
-                score = s[:, order][row, top.ravel()]
-                keep = np.isfinite(score)
-                yield pa.record_batch([pa.array(qids[row][keep]), pa.array(rids[order][top.ravel()][keep]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
+                row, at, score = best(s, qids, rids, k, decimals)
+                yield pa.record_batch([pa.array(qids[row]), pa.array(rids[at]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -123,7 +130,7 @@ def ivf_lists(vectors: DataFrame, centroids: np.ndarray, probes: int = 1) -> Dat
     return rows.mapInArrow(run, "id long, v array<double>, list int")
 
 
-def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int = 8, lists: int = 1024, seed: int = 7) -> DataFrame:
+def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int = 24, lists: int = 1024, seed: int = 7) -> DataFrame:
     """exact_search() within the probes nearest inverted lists of each query; recall rises with probes."""
     sample = unit(_sample(vectors))
     centroids = unit(k_means(sample, list_count(len(sample), lists), seed))
@@ -134,13 +141,9 @@ def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int
         q, r = np.flatnonzero(asks), np.flatnonzero(~asks)
         out = [pa.record_batch([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query_id", "vec_id", "score"])]
         for i in range(0, len(q), 512):
-            s = np.round(unit(x[q[i : i + 512]]) @ unit(x[r]).T, 4)
-            s[ids[q[i : i + 512]][:, None] == ids[r][None, :]] = -np.inf
-            n = min(k, len(r))
-            top = np.argsort(-s, axis=1, kind="stable")[:, :n]
-            row = np.repeat(np.arange(len(s)), n)
-            keep = np.isfinite(s[row, top.ravel()])
-            out.append(pa.record_batch([pa.array(ids[q[i : i + 512]][row][keep]), pa.array(ids[r][top.ravel()][keep]), pa.array(s[row, top.ravel()][keep])], names=["query_id", "vec_id", "score"]))
+            asked = ids[q[i : i + 512]]
+            row, at, score = best(unit(x[q[i : i + 512]]) @ unit(x[r]).T, asked, ids[r], k, 4)
+            out.append(pa.record_batch([pa.array(asked[row]), pa.array(ids[r][at]), pa.array(score)], names=["query_id", "vec_id", "score"]))
         return pa.Table.from_batches(out)
 
     both = ivf_lists(vectors, centroids).withColumn("asks", F.lit(False)).unionByName(ivf_lists(queries, centroids, probes).withColumn("asks", F.lit(True)))
@@ -153,9 +156,12 @@ def pq_segments(d: int) -> int:
     return next(m for m in (64, 32, 16, 8, 4, 2, 1) if d % m == 0)
 
 
-def pq_search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 5, segments: int = 16, candidates: int = 100, seed: int = 7) -> DataFrame:
-    """Candidates by product-quantised codes (a table look-up for each segment), reranked by the vectors themselves."""
+def pq_search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int | None = None, segments: int = 32, candidates: int = 200, seed: int = 7) -> DataFrame:
+    """Candidates by product-quantised codes (a table look-up for each segment), reranked by the vectors themselves. A segment
+    has as many bits as the sample allows (39 rows for each centroid), at most 8, if bits is null."""
     sample = unit(_sample(vectors))
+    if bits is None:
+        bits = max(1, min(8, int(np.log2(max(2, len(sample) / 39)))))
     if len(sample) < 39 << bits:
         raise ValueError(f"{bits} bits need {39 << bits} vectors")
     m = segments if sample.shape[1] % segments == 0 else pq_segments(sample.shape[1])
@@ -174,11 +180,8 @@ def pq_search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 5
                 parts = np.split(unit(np.frombuffer(qx).reshape(-1, d)), m, axis=1)
                 codes, qids, rids = np.frombuffer(raw, np.uint8).reshape(-1, m), np.frombuffer(qi, "<i8"), np.frombuffer(ri, "<i8")
                 s = sum((p @ b.T)[:, codes[:, j]] for j, (p, b) in enumerate(zip(parts, books)))
-                s[qids[:, None] == rids[None, :]] = -np.inf
-                n = min(candidates, len(rids))
-                top = np.argsort(-s, axis=1, kind="stable")[:, :n]
-                row = np.repeat(np.arange(len(qids)), n)
-                yield pa.record_batch([pa.array(qids[row]), pa.array(rids[top.ravel()]), pa.array(s[row, top.ravel()])], names=["query_id", "vec_id", "score"])
+                row, at, score = best(s, qids, rids, candidates, 6)
+                yield pa.record_batch([pa.array(qids[row]), pa.array(rids[at]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     rows = vectors.toDF("id", "v").where("id is not null and v is not null and size(v) > 0").select(F.col("id").cast("long"), F.col("v").cast("array<double>"))
     coded, asked = rows.mapInArrow(code, "ri binary, codes binary"), packed(queries, 256).toDF("qi", "qx", "d")
@@ -196,7 +199,7 @@ def rerank_exact(candidates: DataFrame, vectors: DataFrame, queries: DataFrame,
     return top_k(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], k).select("query_id", "rank", "vec_id", "score")
 
 
-def lsh_search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 24, bits: int = 8, seed: int = 7) -> DataFrame:
+def lsh_search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 40, bits: int = 6, seed: int = 7) -> DataFrame:
     """Candidates that agree with a query on the signs of bits random projections in at least one of the tables, reranked
     by cosine; the sign patterns are computed block by block, the join is by (table, pattern)."""
     d = len(vectors.toDF("id", "v").where("v is not null").first()["v"])

@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
 from quillstone.operators.ranking import top_k
+from quillstone.session import cut, spread
 
 K1, B = 1.5, 0.75
+#: Query terms up to this number are sent to all tasks; more are joined by a shuffle.
+FEW_TERMS = 500_000
 
 
 @dataclass
 class Index:
-    """postings(term, doc_id, dl, tf), terms(term, df, idf), docs(doc_id, dl, …) and stats(n, avgdl): one row."""
+    """postings(term, doc_id, dl, tf), terms(term, df, idf), docs(doc_id, …) and stats(n, avgdl): one row."""
 
     postings: DataFrame
     terms: DataFrame
@@ -56,14 +59,18 @@ def bm25_idf(n: Column, df: Column) -> Column:
 
 def build_index(docs: DataFrame, key: str, terms: Column, keep: list[str] = ()) -> Index:
     """The index of docs; those without terms count in the averages. keep: columns to carry in docs. Keys are unique."""
-    # Each posting carries its document's length, so that scoring needs no join of all postings with the documents.
-    spread = docs.select(F.col(key).alias("doc_id"), terms.alias("terms")).select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    postings = spread.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    sized = docs.select(F.col(key).alias("doc_id"), F.size(terms).alias("dl"), *keep)
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+    # Each posting carries its document's length, so that scoring needs no join of all postings with the documents. They
+    # lie together by document: one shuffle serves counting and scoring. explode_outer() keeps Spark from adding filters
+    # that would make the terms again.
+    analysed = spread(docs).select(F.col(key).alias("doc_id"), terms.alias("__terms"))
+    exploded = analysed.select("doc_id", F.size("__terms").alias("dl"), F.explode_outer("__terms").alias("term")).where("term is not null")
+    postings = cut(exploded.repartition("doc_id").groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf")))
+    carried = docs.select(F.col(key).alias("doc_id"), *keep)
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    stats = carried.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("n", F.coalesce(F.nullif(F.try_divide("total", "n"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
     frequent = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = frequent.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", bm25_idf(F.col("n"), F.col("df")).alias("idf"))
-    return Index(postings, idf, sized, stats)
+    return Index(postings, idf, carried, stats)
 
 
 def query_terms(queries: DataFrame, key: str, terms: Column) -> DataFrame:
@@ -75,9 +82,14 @@ def bm25_scores(index: Index, wanted: DataFrame, k1: float = K1, b: float = B) -
     """(query_id, doc_id, score) of all documents that share a term with a query of wanted(query_id, term, qtf)."""
     if k1 < 0 or not 0 <= b <= 1:
         raise ValueError("k1 is at least 0 and b between 0 and 1")
-    weighted = index.postings.crossJoin(F.broadcast(index.stats.select("avgdl")))
+    rare = wanted.join(index.terms.select("term", "idf"), "term")
     weight = F.col("tf") * (k1 + 1) / F.greatest(F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")), F.lit(1e-12))
-    hits = wanted.join(index.terms.select("term", "idf"), "term").join(weighted.select("term", "doc_id", weight.alias("w")), "term")
+    weighted = index.postings.crossJoin(F.broadcast(index.stats.select("avgdl"))).select("term", "doc_id", weight.alias("w"))
+    if wanted.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
+        # With postings together by document, a document's score is added up where it lies, and top-k cuts before any shuffle.
+        hits = weighted.repartition("doc_id").join(F.broadcast(rare), "term")
+    else:
+        hits = rare.join(weighted, "term")
     return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * F.col("w") * F.col("qtf")).alias("score"))
 
 
@@ -94,7 +106,9 @@ def bm25_search(index: Index, queries: DataFrame, terms: Column, k: int = 10, ti
     """(query_id, rank, doc_id, score): the top k by score (4 decimals), then by the document's column tie (in index.docs)."""
     scores = bm25_scores(index, query_terms(queries, "query_id", terms)).withColumn("score", F.round("score", 4))
     if tie != "doc_id":
-        scores = scores.join(index.docs.select("doc_id", tie), "doc_id")
+        # Few enough rows for a second cut: more than k of a query stay only if they tie at the cut.
+        ranked = scores.withColumn("__r", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("__r") <= k)
+        scores = ranked.drop("__r").join(index.docs.select("doc_id", tie), "doc_id")
     return top_k(scores, ["query_id"], [F.desc("score"), F.asc(tie)], k).select("query_id", "rank", "doc_id", "score")
 
 

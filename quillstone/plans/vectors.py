@@ -9,7 +9,7 @@ from quillstone.functions import vectors as V
 from quillstone.operators import dense, evaluate
 from quillstone.operators.ranking import top_k
 from quillstone.plans.registry import query
-from quillstone.session import table
+from quillstone.session import spread, table
 
 USABLE = """vec as (select vec_id, product_id, dimension, vectors::double[] as v from vectors where vectors is not null and len(vectors) = dimension and dimension > 0
   and len([x for x in vectors if x is null or not isfinite(x)]) = 0 and len([x for x in vectors if x <> 0]) > 0)"""
@@ -27,7 +27,7 @@ def usable(spark, d) -> DataFrame:
 
 
 def _unit(spark, d) -> DataFrame:
-    return usable(spark, d).select("vec_id", V.l2_normalise(F.col("v")).alias("v"))
+    return spread(usable(spark, d)).select("vec_id", V.l2_normalise(F.col("v")).alias("v"))
 
 
 def _embeddings(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -112,13 +112,13 @@ def rerank_exact(spark, d):
 @query("ivf_topk_H7")
 def ivf(spark, d):
     rows, asked = _embeddings(spark, d)
-    return dense.ivf_search(rows, asked, 10, probes=6)
+    return dense.ivf_search(rows, asked, 10)
 
 
 @query("ivfpq_rerank_H8")
 def ivfpq(spark, d):
     rows, asked = _embeddings(spark, d)
-    return dense.pq_search(rows, asked, 10, bits=3, segments=16, candidates=100)
+    return dense.pq_search(rows, asked, 10)
 
 
 @query("lsh_topk_H9")

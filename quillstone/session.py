@@ -42,3 +42,10 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A driver table in the given folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores if it has fewer, so that costly expressions over a small file run in
+    parallel; a table of many partitions isn't shuffled. For scans and projections: it looks at the plan only."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
