@@ -57,14 +57,21 @@ def bm25_idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def build_index(docs: DataFrame, key: str, terms: Column, keep: list[str] = ()) -> Index:
-    """The index of docs; those without terms count in the averages. keep: columns to carry in docs. Keys are unique."""
-    # Each posting carries its document's length, so that scoring needs no join of all postings with the documents. They
-    # lie together by document: one shuffle serves counting and scoring. explode_outer() keeps Spark from adding filters
-    # that would make the terms again.
+def document_terms(docs: DataFrame, key: str, terms: Column) -> DataFrame:
+    """Postings (doc_id, dl, term, tf), written once.
+
+    Each carries its document's length, so that scoring needs no join of all postings with the documents. They lie
+    together by document: one shuffle serves counting and scoring.
+    """
+    # explode_outer() keeps Spark from adding filters that would make the terms again.
     analysed = spread(docs).select(F.col(key).alias("doc_id"), terms.alias("__terms"))
     exploded = analysed.select("doc_id", F.size("__terms").alias("dl"), F.explode_outer("__terms").alias("term")).where("term is not null")
-    postings = cut(exploded.repartition("doc_id").groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf")))
+    return cut(exploded.repartition("doc_id").groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def build_index(docs: DataFrame, key: str, terms: Column, keep: list[str] = ()) -> Index:
+    """The index of docs; those without terms count in the averages. keep: columns to carry in docs. Keys are unique."""
+    postings = document_terms(docs, key, terms)
     carried = docs.select(F.col(key).alias("doc_id"), *keep)
     total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
     stats = carried.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("n", F.coalesce(F.nullif(F.try_divide("total", "n"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
@@ -119,7 +126,10 @@ def baseline_scores(tokens: DataFrame, n_docs: Column, wanted: DataFrame) -> Dat
     """
     idf = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", (F.log((n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     total = wanted.groupBy("query_id").agg(F.sum("qtf").alias("n"))
-    raw = wanted.join(idf, "term").join(tokens, "term").groupBy("query_id", "doc_id").agg(F.sum(F.least("qtf", "tf") * F.col("idf")).alias("s"))
+    rare = wanted.join(idf, "term")
+    few = wanted.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    hits = tokens.repartition("doc_id").join(F.broadcast(rare), "term") if few else rare.join(tokens, "term")
+    raw = hits.groupBy("query_id", "doc_id").agg(F.sum(F.least("qtf", "tf") * F.col("idf")).alias("s"))
     shared = raw.join(total, "query_id").withColumn("s", F.col("s") / F.col("n"))
     return shared.select("query_id", "doc_id", (F.col("s") / F.max("s").over(Window.partitionBy("query_id"))).alias("score"))
 

@@ -52,7 +52,7 @@ def bm25(spark, d, k):
 
 def baseline(spark, d):
     docs = documents(spark, d)
-    tokens = lexical.term_frequencies(docs, "doc_id", X.tokenize(F.col("text")))
+    tokens = lexical.document_terms(docs, "doc_id", X.tokenize(F.col("text")))
     n = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     scores = lexical.baseline_scores(tokens, F.lit(n), lexical.query_terms(asked(spark, d), "query_id", X.tokenize(F.col("query"))))
     return scores.withColumn("score", F.round("score", 4))
