@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from quillstone.llm.lookalike import canonical
 from quillstone.llm.spans import Rolling, _slide, mixed
-from quillstone.session import cut
+from quillstone.session import written
 
 SIMILARITY = 0.78
 PIECE, GRAM, WINDOW = 3, 6, 3
@@ -34,6 +34,8 @@ PIECE, GRAM, WINDOW = 3, 6, 3
 MANY, FEW = 22, 29
 #: Cells of the histogram of pieces that is sent to all tasks (a byte each).
 CELLS = 1 << 20
+#: Bits of the sketch of a title's pieces.
+SKETCH = 256
 
 
 def plain_split(split: Column) -> Column:
@@ -114,9 +116,10 @@ def fingerprints(texts: list[str], rarity: np.ndarray) -> tuple[np.ndarray, ...]
     keep = _distinct(owner, place, h)
     owner, place, h = owner[keep], place[keep], h[keep]
     size = np.bincount(owner, minlength=n)
-    sketch = np.zeros((n, 4), np.uint64)
-    bit = mixed(h)
-    np.bitwise_or.at(sketch, (owner, ((bit >> np.uint64(6)) & np.uint64(3)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    bit = ((mixed(h) >> np.uint64(32)) % np.uint64(SKETCH)).astype(np.int64)
+    sketch = np.zeros((n, SKETCH), bool)
+    sketch[owner, bit] = True
+    sketch = np.packbits(sketch, axis=1, bitorder="little").view("<i8")
 
     def order(x: np.ndarray) -> np.ndarray:  # rarest first; never the greatest value
         return (rarity[_cells(x)].astype(np.uint64) << np.uint64(56)) | (x >> np.uint64(9))
@@ -142,7 +145,7 @@ def fingerprints(texts: list[str], rarity: np.ndarray) -> tuple[np.ndarray, ...]
     return *(np.concatenate(x) for x in zip(*out)), size, sketch
 
 
-SEEDS = "seed long, c long, n int, b0 long, b1 long, b2 long, b3 long, place int, train boolean, other boolean"
+SEEDS = "seed long, c long, n int, b0 long, b1 long, b2 long, b3 long, place int"
 
 
 def _seeder(rarity):
@@ -152,8 +155,8 @@ def _seeder(rarity):
                 continue
             owner, place, seed, size, sketch = fingerprints(batch.column(0).to_pylist(), rarity.value)
             take = lambda i: batch.column(i).take(pa.array(owner))
-            columns = [pa.array(seed.view(np.int64)), take(1), pa.array(size[owner].astype(np.int32)), *(pa.array(sketch[owner, i].view(np.int64)) for i in range(4)), pa.array(place.astype(np.int32)), take(2), take(3)]
-            yield pa.record_batch(columns, names=["seed", "c", "n", "b0", "b1", "b2", "b3", "place", "train", "other"])
+            columns = [pa.array(seed.view(np.int64)), take(1), pa.array(size[owner].astype(np.int32)), *(pa.array(sketch[owner, i]) for i in range(4)), pa.array(place.astype(np.int32))]
+            yield pa.record_batch(columns, names=["seed", "c", "n", "b0", "b1", "b2", "b3", "place"])
 
     return run
 
@@ -213,8 +216,8 @@ def similar_titles(classes: DataFrame) -> DataFrame:
     for batch in classes.select("t").mapInArrow(_histogram, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
         rarity[batch.column(0).to_numpy(zero_copy_only=False)] = np.minimum(255, 1 + 8 * np.log2(batch.column(1).to_numpy(zero_copy_only=False))).astype(np.uint8)
     rarity = np.minimum(rarity, 254)
-    seeds = classes.mapInArrow(_seeder(classes.sparkSession.sparkContext.broadcast(rarity)), SEEDS)
-    a, b = seeds.where("train").alias("a"), seeds.where("other").alias("b")
+    seeder = _seeder(classes.sparkSession.sparkContext.broadcast(rarity))
+    a, b = (classes.where(side).select("t", "c").mapInArrow(seeder, SEEDS).alias(name) for side, name in (("train", "a"), ("other", "b")))
     apart = sum((F.bit_count(F.col(f"a.b{i}").bitwiseXOR(F.col(f"b.b{i}"))) for i in range(4)), F.lit(0))
     total = F.col("a.n") + F.col("b.n")
     possible = (F.col("a.seed") == F.col("b.seed")) & (F.col("a.c") != F.col("b.c")) & (F.least("a.n", "b.n") >= SIMILARITY * F.greatest("a.n", "b.n") - 1e-9) & (apart <= (1 - SIMILARITY) / (1 + SIMILARITY) * total + 1e-9)
@@ -229,7 +232,7 @@ def prepared(products: DataFrame) -> DataFrame:
     """(id, split, source, image, t): plain forms of the products that belong to a split; written once."""
     title = F.arrow_udf(lambda texts: pa.array(map(plain_title, texts.to_pylist()), pa.string()), T.StringType())
     named = products.select("id", plain_split(F.col("split")).alias("split"), F.lower(F.regexp_replace("source", r"^\s+|\s+$", "")).alias("source"), plain_hash(F.col("image_sha256")).alias("image"), title(F.col("title")).alias("t"))
-    return cut(named.where("id is not null and split is not null"))
+    return written(named.where("id is not null and split is not null"))
 
 
 def cross_split_pairs(products: DataFrame, placeholders: DataFrame) -> DataFrame:
@@ -248,7 +251,7 @@ def _pairs(rows: DataFrame, placeholders: DataFrame) -> DataFrame:
     images = shown.where("split = 'train'").select("image", F.col("id").alias("train_id")).join(shown.where("split <> 'train'").select("image", F.col("id").alias("other_id")), "image")
     images = images.select("train_id", "other_id", F.lit(True).alias("same_image"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("double").alias("coverage"))
     classes = rows.where("t is not null").groupBy("t").agg(F.bool_or(F.col("split") == "train").alias("train"), F.bool_or(F.col("split") != "train").alias("other"))
-    classes = cut(classes)
+    classes = written(classes)
     same = classes.where("train and other").select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(1.0).alias("similarity"), F.lit(1.0).alias("coverage"))
     pairs = similar_titles(classes).unionByName(same)
     titles = pairs.join(train.select(F.col("t").alias("a"), F.col("id").alias("train_id")), "a").join(other.select(F.col("t").alias("b"), F.col("id").alias("other_id")), "b")
@@ -261,7 +264,7 @@ def overlap_report(products: DataFrame, placeholders: DataFrame) -> DataFrame:
     """(split, source, records, overlapping, pairs, by_image, by_title, mean_coverage): per split and source, how many
     records have a counterpart across the splits, in how many pairs, and the mean over records of their best title coverage."""
     rows = prepared(products)
-    pairs = cut(_pairs(rows, placeholders))
+    pairs = written(_pairs(rows, placeholders))
     sides = pairs.withColumnRenamed("train_id", "id").drop("other_id").unionByName(pairs.withColumnRenamed("other_id", "id").drop("train_id"))
     per_record = sides.groupBy("id").agg(F.count(F.lit(1)).alias("pairs"), F.count_if("same_image").alias("by_image"), F.count("similarity").alias("by_title"), F.max("coverage").alias("coverage"))
     counted = rows.select("id", "split", "source").join(per_record, "id", "left").groupBy("split", "source")
