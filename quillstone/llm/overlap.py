@@ -34,6 +34,8 @@ PIECE, GRAM, WINDOW = 3, 6, 3
 MANY, FEW = 22, 29
 #: Cells of the histogram of pieces that is sent to all tasks (a byte each).
 CELLS = 1 << 20
+#: Bits of the filter of fingerprints outside train; its size is the same for any input (4 MB).
+FILTER_BITS = 1 << 25
 #: Bits of the sketch of a title's pieces.
 SKETCH = 256
 
@@ -148,12 +150,18 @@ def fingerprints(texts: list[str], rarity: np.ndarray) -> tuple[np.ndarray, ...]
 SEEDS = "seed long, c long, n int, b0 long, b1 long, b2 long, b3 long, place int"
 
 
-def _seeder(rarity):
+def _seeder(rarity, met=None):
+    """Rows of fingerprints; with met, a filter of the other side's, only of those that it may hold."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             owner, place, seed, size, sketch = fingerprints(batch.column(0).to_pylist(), rarity.value)
+            if met is not None:
+                spot = (seed & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                may = (met.value[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) != 0
+                owner, place, seed = owner[may], place[may], seed[may]
             take = lambda i: batch.column(i).take(pa.array(owner))
             columns = [pa.array(seed.view(np.int64)), take(1), pa.array(size[owner].astype(np.int32)), *(pa.array(sketch[owner, i]) for i in range(4)), pa.array(place.astype(np.int32))]
             yield pa.record_batch(columns, names=["seed", "c", "n", "b0", "b1", "b2", "b3", "place"])
@@ -216,8 +224,16 @@ def similar_titles(classes: DataFrame) -> DataFrame:
     for batch in classes.select("t").mapInArrow(_histogram, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
         rarity[batch.column(0).to_numpy(zero_copy_only=False)] = np.minimum(255, 1 + 8 * np.log2(batch.column(1).to_numpy(zero_copy_only=False))).astype(np.uint8)
     rarity = np.minimum(rarity, 254)
-    seeder = _seeder(classes.sparkSession.sparkContext.broadcast(rarity))
-    a, b = (classes.where(side).select("t", "c").mapInArrow(seeder, SEEDS).alias(name) for side, name in (("train", "a"), ("other", "b")))
+    context = classes.sparkSession.sparkContext
+    rarity = context.broadcast(rarity)
+    b = classes.where("other").select("t", "c").mapInArrow(_seeder(rarity), SEEDS)
+    spot = F.col("seed").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = b.select(F.shiftright(spot, 6).alias("w"), F.expr("shiftleft(1L, cast(seed & 63 as int))").alias("x")).groupBy("w").agg(F.bit_or("x").alias("x"))
+    met = np.zeros(FILTER_BITS >> 6, np.uint64)
+    for batch in words.toArrow().to_batches():
+        met[batch.column(0).to_numpy(zero_copy_only=False)] = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+    a = classes.where("train").select("t", "c").mapInArrow(_seeder(rarity, context.broadcast(met)), SEEDS).alias("a")
+    b = b.alias("b")
     apart = sum((F.bit_count(F.col(f"a.b{i}").bitwiseXOR(F.col(f"b.b{i}"))) for i in range(4)), F.lit(0))
     total = F.col("a.n") + F.col("b.n")
     possible = (F.col("a.seed") == F.col("b.seed")) & (F.col("a.c") != F.col("b.c")) & (F.least("a.n", "b.n") >= SIMILARITY * F.greatest("a.n", "b.n") - 1e-9) & (apart <= (1 - SIMILARITY) / (1 + SIMILARITY) * total + 1e-9)
