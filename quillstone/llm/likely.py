@@ -1,0 +1,17 @@
+"""A broadcast filter of fixed size that thins out a large table before it is shuffled for a join with a small one."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Words of 64 bits; the filter takes at most 4 MB, whatever the input.
+FILTER_WORDS = 1 << 18
+
+
+def likely(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """The rows whose key may be in wanted: all that are, and few others as long as wanted has far fewer keys than the filter bits."""
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS * 64))
+    words = wanted.select(spot(wanted_key).alias("s")).groupBy(F.floor(F.col("s") / 64).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("__bits"))
+    found = rows.withColumn("__s", spot(key)).join(F.broadcast(words), F.expr("__word = floor(__s / 64) and (shiftright(__bits, cast(__s % 64 as int)) & 1L) = 1"), "left_semi")
+    return found.drop("__s")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.llm.likely import likely
 from quillstone.llm.lookalike import canonical
 from quillstone.llm.spans import Rolling, _slide, mixed
 from quillstone.session import written
@@ -238,8 +239,8 @@ def similar_titles(classes: DataFrame) -> DataFrame:
     total = F.col("a.n") + F.col("b.n")
     possible = (F.col("a.seed") == F.col("b.seed")) & (F.col("a.c") != F.col("b.c")) & (F.least("a.n", "b.n") >= SIMILARITY * F.greatest("a.n", "b.n") - 1e-9) & (apart <= (1 - SIMILARITY) / (1 + SIMILARITY) * total + 1e-9)
     hits = a.join(b, possible).select(F.col("a.c").alias("ca"), F.col("b.c").alias("cb"), F.struct(F.col("a.place").alias("x"), F.col("b.place").alias("y")).alias("s"))
-    candidates = hits.groupBy("ca", "cb").agg(F.collect_list("s").alias("seeds"))
-    text = lambda c, t: classes.select(F.col("c").alias(c), F.col("t").alias(t))
+    candidates = written(hits.groupBy("ca", "cb").agg(F.collect_list("s").alias("seeds")))
+    text = lambda c, t: likely(classes, F.col("c"), candidates, F.col(c)).select(F.col("c").alias(c), F.col("t").alias(t))
     named = candidates.join(text("ca", "a"), "ca").join(text("cb", "b"), "cb").select("a", "b", "seeds")
     return named.mapInArrow(_verify, "a string, b string, similarity double, coverage double")
 
@@ -269,7 +270,8 @@ def _pairs(rows: DataFrame, placeholders: DataFrame) -> DataFrame:
     classes = rows.where("t is not null").groupBy("t").agg(F.bool_or(F.col("split") == "train").alias("train"), F.bool_or(F.col("split") != "train").alias("other"))
     classes = written(classes)
     same = classes.where("train and other").select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(1.0).alias("similarity"), F.lit(1.0).alias("coverage"))
-    pairs = similar_titles(classes).unionByName(same)
+    pairs = written(similar_titles(classes).unionByName(same))
+    train, other = likely(train, F.col("t"), pairs, F.col("a")), likely(other, F.col("t"), pairs, F.col("b"))
     titles = pairs.join(train.select(F.col("t").alias("a"), F.col("id").alias("train_id")), "a").join(other.select(F.col("t").alias("b"), F.col("id").alias("other_id")), "b")
     titles = titles.select("train_id", "other_id", F.lit(False).alias("same_image"), "similarity", "coverage")
     both = images.unionByName(titles).where("train_id <> other_id").groupBy("train_id", "other_id")
