@@ -130,7 +130,7 @@ def ivf_lists(vectors: DataFrame, centroids: np.ndarray, probes: int = 1) -> Dat
     return rows.mapInArrow(run, "id long, v array<double>, list int")
 
 
-def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int = 24, lists: int = 1024, seed: int = 7) -> DataFrame:
+def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int = 36, lists: int = 1024, seed: int = 7) -> DataFrame:
     """exact_search() within the probes nearest inverted lists of each query; recall rises with probes."""
     sample = unit(_sample(vectors))
     centroids = unit(k_means(sample, list_count(len(sample), lists), seed))
