@@ -6,6 +6,10 @@ of every table. By the pigeonhole principle two codes within a Hamming radius of
 and so meet in a bucket; in the buckets, cosines are computed from the vectors themselves. A substring has as many bits
 as keep a bucket near BUCKET rows, whatever the number of rows, so work grows in proportion to the rows.
 
+A bucket of more than block(d) rows, such as near copies of one vector with one code, is compared whole as well: its rows
+are dealt into blocks of about that many, and each pair of blocks is a group of its own. Rows that share a substring of
+an earlier table are left out, as they met there.
+
 Copies: a batch keeps the six smallest ids of each set of identical vectors; the further ones have five copies
 at cosine 1 in the same batch and get those, so a vector that a third of all rows hold doesn't fill a bucket.
 """
@@ -23,9 +27,22 @@ TABLES = 5
 BUCKET = 2400
 #: Rows, about, that the rotation of a dimension is learned from.
 SAMPLE = 8192
-#: In a bucket of more rows than this, rows in the order of their codes are compared with BLOCK rows before and after.
-BLOCK = 8192
-PACKED = "g long, id long, code long, v binary, near binary"
+#: Rows of a block, at least and at most.
+BLOCK = 8192, 32768
+PACKED = "g long, pair long, id long, code long, v binary, near binary"
+
+
+def block(d: int) -> int:
+    """Rows that a task compares with as many at a time: up to 4 MB of vectors of d elements, within BLOCK."""
+    return min(BLOCK[1], max(BLOCK[0], (1 << 21) // d))
+
+
+def _dealt(ids: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of each id, from a hash of it."""
+    x = ids.astype(np.uint64)
+    for by in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(by)
+    return ((x ^ (x >> np.uint64(31))) % np.uint64(blocks)).astype(np.int64)
 
 
 def unit_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -75,8 +92,9 @@ def _substrings(codes: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(codes >> (t * bits)) & ((1 << bits) - 1) for t in range(TABLES)]
 
 
-def _encoder(models: dict[int, tuple[int, np.ndarray, np.ndarray]]):
-    """Rows (bucket, id, code, vector) for each table; near holds the neighbours of rows that need no bucket."""
+def _encoder(models: dict[int, tuple[int, np.ndarray, np.ndarray]], blocks: dict[int, int] | None):
+    """Rows (bucket, pair of blocks, id, code, vector) for each table; near holds the neighbours of rows that need no bucket.
+    blocks: of the buckets that are dealt into blocks; if it is null, rows (bucket, rows in it) instead."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,11 +109,11 @@ def _encoder(models: dict[int, tuple[int, np.ndarray, np.ndarray]]):
                 start = np.flatnonzero(np.append(True, np.diff(same[by]) != 0))
                 nth = np.arange(len(by)) - np.repeat(start, np.diff(np.append(start, len(by))))
                 spare = by[nth >= 6]
-                if len(spare):
+                if len(spare) and blocks is not None:
                     first = dict(zip(same[by[start]], start))
                     near = [ids[by[first[same[i]] : first[same[i]] + 5]].astype("<i8").tobytes() for i in spare]
                     n = len(spare)
-                    yield pa.record_batch([pa.array(-1 - ids[spare] % 4096), pa.array(ids[spare]), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.binary()), pa.array(near, pa.binary())], names=["g", "id", "code", "v", "near"])
+                    yield pa.record_batch([pa.array(-1 - ids[spare] % 4096), pa.array(np.zeros(n, np.int64)), pa.array(ids[spare]), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.binary()), pa.array(near, pa.binary())], names=["g", "pair", "id", "code", "v", "near"])
                 keep = np.sort(by[nth < 6])
                 ids, short = ids[keep], short[keep]
                 bits, mean, axes = models[d]
@@ -103,54 +121,73 @@ def _encoder(models: dict[int, tuple[int, np.ndarray, np.ndarray]]):
                 codes = signs.astype(np.int64) @ (1 << np.arange(signs.shape[1], dtype=np.int64)) if bits else np.zeros(len(ids), np.int64)
                 blob = pa.Array.from_buffers(pa.binary(2 * d), len(ids), [None, pa.py_buffer(np.ascontiguousarray(short))]).cast(pa.binary())
                 for t, part in enumerate(_substrings(codes, bits) if bits else [np.zeros(len(ids), np.int64)]):
-                    yield pa.record_batch([pa.array(((d * TABLES + t) << 32) | part), pa.array(ids), pa.array(codes), blob, pa.nulls(len(ids), pa.binary())], names=["g", "id", "code", "v", "near"])
+                    g = ((d * TABLES + t) << 32) | part
+                    if blocks is None:
+                        found, n = np.unique(g, return_counts=True)
+                        yield pa.record_batch([pa.array(found), pa.array(n)], names=["g", "n"])
+                        continue
+                    m = np.array([blocks.get(x, 1) for x in g.tolist()], np.int64)
+                    for size in np.unique(m):
+                        rows = np.flatnonzero(m == size)
+                        own = _dealt(ids[rows], size)
+                        for other in range(size):
+                            pair = np.minimum(own, other) * size + np.maximum(own, other)
+                            at = pa.array(rows)
+                            yield pa.record_batch([pa.array(g[rows]), pa.array(pair), pa.array(ids[rows]), pa.array(codes[rows]), blob.take(at), pa.nulls(len(rows), pa.binary())], names=["g", "pair", "id", "code", "v", "near"])
 
     return run
 
 
-def _top(x: np.ndarray, queries: slice, others: slice, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and cosines of each query's best k rows, itself left out; -1 where there are fewer."""
+def _top(x: np.ndarray, queries: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and cosines of each query's best k of the others, itself left out; -1 where there are fewer."""
     scores = x[queries] @ x[others].T
-    rows = np.arange(scores.shape[0])
-    own = rows + queries.start - others.start
-    scores[rows, own] = -3
+    own = np.minimum(np.searchsorted(others, queries), len(others) - 1)
+    itself = np.flatnonzero(others[own] == queries)
+    scores[itself, own[itself]] = -3
+    rows = np.arange(len(queries))
     best, cosines = np.empty((len(rows), k), np.int64), np.empty((len(rows), k), np.float32)
     for j in range(k):
         at = scores.argmax(axis=1)
         cosines[:, j] = scores[rows, at]
-        best[:, j] = np.where(cosines[:, j] > -2, at + others.start, -1)
+        best[:, j] = np.where(cosines[:, j] > -2, others[at], -1)
         scores[rows, at] = -3
     return best, cosines
 
 
-def _searcher(bits_of: dict[int, int], k: int):
+def _searcher(bits_of: dict[int, int], blocks: dict[int, int], k: int):
     out = pa.schema([("id", pa.int64()), ("near", pa.list_(pa.int64())), ("cosine", pa.list_(pa.float32()))])
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        g = key[0].as_py()
+        g, pair = (x.as_py() for x in key)
         if g < 0:
             near = [np.frombuffer(b, "<i8")[:k].tolist() for b in rows["near"].to_pylist()]
             return pa.table([rows["id"], pa.array(near, out.field(1).type), pa.array([[1.0] * len(b) for b in near], out.field(2).type)], schema=out)
         d, t = divmod(g >> 32, TABLES)
         ids, codes = rows["id"].to_numpy(), rows["code"].to_numpy()
         x = restored(np.frombuffer(b"".join(rows["v"].to_pylist()), np.int16).reshape(-1, d))
-        n = len(ids)
-        order = np.lexsort((ids, codes))
-        ids, codes, x = ids[order], codes[order], x[order]
-        parts = []
-        step = max(1, min(1024, (1 << 23) // max(1, min(n, 3 * BLOCK))))
-        for i in range(0, n, step):
-            j = min(n, i + step)
-            reach = slice(0, n) if n <= BLOCK else slice(max(0, i - BLOCK), min(n, j + BLOCK))
-            parts.append(_top(x, slice(i, j), reach, min(k, max(1, n - 1))))
-        best, cosines = (np.concatenate(p) for p in zip(*parts))
+        n, size = len(ids), blocks.get(g, 1)
+        earlier = codes & ((1 << (t * bits_of[d])) - 1)
+        order = np.lexsort((ids, codes, earlier))
+        ids, codes, x, earlier = ids[order], codes[order], x[order], earlier[order]
+        substrings = _substrings(codes, bits_of[d])[:t]
+        a, b = divmod(pair, size)
+        mine = _dealt(ids, size) == a
+        sides = [(np.arange(n),) * 2] if a == b else [(np.flatnonzero(mine), np.flatnonzero(~mine)), (np.flatnonzero(~mine), np.flatnonzero(mine))]
+        parts = [(np.empty(0, np.int64), np.empty((0, k), np.int64), np.empty((0, k), np.float32))]
+        step = max(1, min(1024, (1 << 23) // max(1, n)))
+        for asked, there in sides:
+            for i in range(0, len(asked), step):
+                queries, others = asked[i : i + step], there
+                if t and earlier[queries[0]] == earlier[queries[-1]]:  # what all of them met in an earlier table needn't be compared
+                    others = there[np.all([s[there] != s[queries[0]] for s in substrings], axis=0)]
+                if len(others):
+                    parts.append((queries, *_top(x, queries, others, k)))
+        queries, best, cosines = (np.concatenate(p) for p in zip(*parts))
         keep = best >= 0
-        if t:  # pairs that met in an earlier table were ranked there
-            mine, theirs = _substrings(codes, bits_of[d]), _substrings(codes[best], bits_of[d])
-            for u in range(t):
-                keep &= mine[u][:, None] != theirs[u]
+        for s in substrings:  # pairs that met in an earlier table were ranked there
+            keep &= s[queries][:, None] != s[best]
         counts = np.append(0, np.cumsum(keep.sum(axis=1))).astype(np.int32)
-        return pa.table([pa.array(ids), pa.ListArray.from_arrays(counts, pa.array(ids[best[keep]])), pa.ListArray.from_arrays(counts, pa.array(cosines[keep]))], schema=out).filter(pa.array(np.diff(counts) > 0))
+        return pa.table([pa.array(ids[queries]), pa.ListArray.from_arrays(counts, pa.array(ids[best[keep]])), pa.ListArray.from_arrays(counts, pa.array(cosines[keep]))], schema=out).filter(pa.array(np.diff(counts) > 0))
 
     return run
 
@@ -196,8 +233,13 @@ def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "vectors", dimen
         bits = min(bits, d // TABLES, 62 // TABLES)
         x = np.concatenate(found).astype(np.float64)
         models[d] = (bits, *learn_rotation(x, bits * TABLES, seed)) if bits and len(x) > 1 else (0, np.zeros(d, np.float32), np.zeros((d, 0), np.float32))
-    buckets = named.where("d > 0").mapInArrow(_encoder(models), PACKED)
-    found = buckets.groupBy("g").applyInArrow(_searcher({d: m[0] for d, m in models.items()}, k), "id long, near array<long>, cosine array<float>")
+    blocks: dict[int, int] = {}
+    if large := [d for d in models if counts[d] > block(d)]:
+        sizes = named.where(F.col("d").isin(large)).mapInArrow(_encoder(models, None), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+        most = F.create_map(*(F.lit(x) for d in large for x in (d, block(d))))[F.floor(F.shiftright("g", 32) / TABLES).cast("int")]
+        blocks = {r["g"]: -(-r["n"] // block((r["g"] >> 32) // TABLES)) for r in sizes.where(F.col("n") > most).collect()}
+    buckets = named.where("d > 0").mapInArrow(_encoder(models, blocks), PACKED)
+    found = buckets.groupBy("g", "pair").applyInArrow(_searcher({d: m[0] for d, m in models.items()}, blocks, k), "id long, near array<long>, cosine array<float>")
     return found.repartition("id").mapInArrow(_ranker(k), "vec_id long, rank int, neighbour long, cosine float")
 
 

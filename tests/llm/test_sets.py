@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,25 @@ def test_copies_of_a_vector(spark):
     assert len(got) == 3001 and all(r["n"] == r["d"] == 5 for r in got) and sum(r["c"] > 0.999 for r in got) == 3000
 
 
+def test_near_copies_that_fill_a_bucket(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal(24) + 0.01 * rng.standard_normal((36_000, 24)), rng.standard_normal((24_000, 24))]).astype(np.float32)
+    ids = rng.permutation(len(x))
+    data = spark.createDataFrame(pa.table({"vec_id": pa.array(ids), "vectors": pa.array(list(x)), "dimension": pa.array(np.full(len(x), 24, np.int32))})).repartition(6)
+    got = nearest.nearest(data).where(F.col("vec_id").isin(ids[:36_000:60].tolist())).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    truth = set()
+    for i in range(0, 36_000, 60):
+        score = unit @ unit[i]
+        score[i] = -9
+        truth |= {(int(ids[i]), int(ids[j])) for j in np.argsort(-score)[:5]}
+    found = {(r["vec_id"], r["neighbour"]) for r in got}
+    assert len(found) == len(truth)
+    recall = len(truth & found) / len(truth)
+    print(f"recall of near copies: {recall:.4f}")
+    assert recall > 0.95
+
+
 def pack(spark, sizes, capacity=100):
     data = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, size long")
     return packing.pack_sizes(data.repartition(3), capacity).collect()
