@@ -19,6 +19,9 @@ from quillstone.session import spread
 BLOCK = 4096
 #: Rows that centroids and codebooks are fitted on, about.
 SAMPLE = 20_000
+#: Queries that are compared with all vectors to find how many inverted lists to probe.
+ASKED = 256
+PROBES = 36
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -130,10 +133,35 @@ def ivf_lists(vectors: DataFrame, centroids: np.ndarray, probes: int = 1) -> Dat
     return rows.mapInArrow(run, "id long, v array<double>, list int")
 
 
-def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int = 36, lists: int = 1024, seed: int = 7) -> DataFrame:
-    """exact_search() within the probes nearest inverted lists of each query; recall rises with probes."""
+def enough_probes(vectors: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int, recall: float, seed: int = 7) -> int:
+    """Probes with which ASKED of the queries find the share recall of their true top k; their truth is exact, over all vectors."""
+    rows, asked = (df.toDF("id", "v").where("id is not null and v is not null and size(v) > 0").select(F.col("id").cast("long"), F.col("v").cast("array<double>")) for df in (vectors, queries))
+    chosen = asked.orderBy(F.xxhash64("id", F.lit(seed))).limit(ASKED).collect()
+    if not chosen:
+        return 1
+    qids, q = np.array([r["id"] for r in chosen]), unit(np.array([r["v"] for r in chosen], np.float64))
+    place = np.argsort(np.argsort(-(q @ centroids.T), axis=1, kind="stable"), axis=1)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, BLOCK) for i in range(0, len(batch), BLOCK)):
+                rids, x = part.column(0).to_numpy(zero_copy_only=False), unit(_matrix(part.column(1)))
+                row, at, score = best(q @ x.T, qids, rids, k, 4)
+                own = (x @ centroids.T).argmax(axis=1)
+                yield pa.record_batch([pa.array(qids[row]), pa.array(rids[at]), pa.array(score), pa.array(place[row, own[at]] + 1)], names=["query_id", "vec_id", "score", "probe"])
+
+    found = rows.mapInArrow(run, "query_id long, vec_id long, score double, probe long")
+    needed = sorted(r["probe"] for r in top_k(found, ["query_id"], [F.desc("score"), F.asc("vec_id")], k).select("probe").collect())
+    return needed[max(0, int(np.ceil(recall * len(needed))) - 1)] if needed else 1
+
+
+def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int | None = None, lists: int = 1024, seed: int = 7, recall: float = 0.95) -> DataFrame:
+    """exact_search() within the probes nearest inverted lists of each query; if probes is null, as many as give a sample of
+    the queries this recall, PROBES at least."""
     sample = unit(_sample(vectors))
     centroids = unit(k_means(sample, list_count(len(sample), lists), seed))
+    if probes is None:
+        probes = max(PROBES, enough_probes(vectors, queries, centroids, k, recall, seed))
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         asks = rows["asks"].to_numpy(zero_copy_only=False)

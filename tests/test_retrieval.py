@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,21 @@ def test_approximate_search_against_exact(spark):
         dense.pq_search(data, asked, bits=8)
 
 
+def test_inverted_lists_of_many_rows_are_probed_enough(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((20_000, 64)) * np.linspace(1, 0.5, 64) + 0.05
+    data = spark.createDataFrame(pa.table({"id": pa.array(np.arange(len(x))), "v": pa.array(list(x))})).repartition(4)
+    got = dense.ivf_search(data, data.where("id % 40 = 0"), 10).collect()
+    unit, truth = dense.unit(x), set()
+    for i in range(0, len(x), 40):
+        score = np.round(unit @ unit[i], 4)
+        score[i] = -9
+        truth |= {(i, int(j)) for j in np.argsort(-score, kind="stable")[:10]}
+    recall = len(truth & {(r["query_id"], r["vec_id"]) for r in got}) / len(truth)
+    print(f"recall of inverted lists: {recall:.4f}")
+    assert len(got) == len(truth) and recall > 0.9
+
+
 def test_vectors(spark):
     assert one(spark, V.cosine(F.col("a"), F.col("b")), a=[0.0, 0.0], b=[1.0, 0.0]) == 0.0
     assert one(spark, V.l2_normalise(F.col("a")), a=[3.0, 4.0]) == [0.6, 0.8]
