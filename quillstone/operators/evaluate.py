@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,14 +57,21 @@ def margins(scores: DataFrame, near: float = 0.05) -> DataFrame:
 def bootstrap(values: DataFrame, value: str, resamples: int = 2000, seed: int = 20260907) -> DataFrame:
     """One row (mean, low, high): the mean and its 95 % interval over Poisson resamples.
 
-    Each row draws its count in every resample from a hash of its content and number, so no task needs all rows and the
-    result is the same on any cluster; rows with equal values share counts only by chance, as they are salted.
+    A row's count in a resample is Poisson(1); that of n rows of equal value together, Poisson(n). So each distinct value draws
+    once for each resample, seeded by the value: no task needs all rows and the result is the same on any cluster.
     """
-    salted = values.select(F.col(value).cast("double").alias("v"), F.monotonically_increasing_id().alias("i")).where("v is not null")
-    drawn = salted.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    u = (F.xxhash64("i", "b", F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)).cast("double")
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]  # Poisson(1), cumulated
-    count = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
-    means = drawn.withColumn("n", count).groupBy("b").agg((F.sum(F.col("n") * F.col("v")) / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
+
+    def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn, total = np.zeros(resamples, np.int64), np.zeros(resamples)
+            for v, n, at in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                counts = np.random.default_rng(at & ((1 << 64) - 1)).poisson(n, resamples)
+                drawn += counts
+                total += counts * v
+            yield pa.record_batch([pa.array(np.arange(resamples)), pa.array(drawn), pa.array(total)], names=["b", "n", "s"])
+
+    equal = values.select(F.col(value).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    drawn = equal.select("v", "n", F.xxhash64("v", F.lit(seed)).alias("at")).mapInArrow(draw, "b long, n long, s double")
+    means = drawn.groupBy("b").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
     interval = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     return values.agg(F.avg(value).alias("mean")).crossJoin(interval)

@@ -126,7 +126,7 @@ def tool_metrics(spark, d):
 
 @query("bootstrap_ci_E21")
 def bootstrap(spark, d):
-    return evaluate.bootstrap(table(spark, d, "products").where("rating is not null"), "rating", 200)
+    return evaluate.bootstrap(table(spark, d, "products").where("rating is not null"), "rating")
 
 
 def _turns(spark, d):

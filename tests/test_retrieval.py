@@ -1,3 +1,5 @@
+import inspect
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as X
 from quillstone.functions import vectors as V
 from quillstone.operators import dense, evaluate, fusion, lexical, ranking, segments, synthetic
+from quillstone.plans import QUERIES
 
 
 def one(spark, column, **values):
@@ -170,6 +173,23 @@ def test_metrics(spark, rows):
     assert interval["low"] < 0.5 < interval["high"] and interval["mean"] == 0.5
 
 
+def test_bootstrap_query_draws_2000_resamples(spark, monkeypatch):
+    drawn, bootstrap = [], evaluate.bootstrap
+
+    def noted(values, value, resamples=inspect.signature(bootstrap).parameters["resamples"].default):
+        drawn.append(resamples)
+        return bootstrap(values, value, resamples)
+
+    monkeypatch.setattr(evaluate, "bootstrap", noted)
+    QUERIES["bootstrap_ci_E21"](spark, "/root/testdata/sf0.001")
+    assert drawn == [2000]
+    data = spark.range(4000).select((F.col("id") % 50).cast("double").alias("v"))
+    got = bootstrap(data, "v").first()
+    half = 1.96 * np.arange(50).std() / 4000**0.5
+    assert got["mean"] == 24.5 and abs(24.5 - got["low"] - half) < 0.1 * half and abs(got["high"] - 24.5 - half) < 0.1 * half
+    assert bootstrap(data.repartition(3), "v").first() == pytest.approx(got)
+
+
 def test_ranking(spark, rows):
     data = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("a", 4), (None, 5)], "g string, i long")
     got = ranking.interleave(data, "g", [F.asc("i")]).orderBy("place").collect()
