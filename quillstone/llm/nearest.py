@@ -10,7 +10,7 @@ A bucket of more than block(d) rows, such as near copies of one vector with one
 are dealt into blocks of about that many, and each pair of blocks is a group of its own. Rows that share a substring of
 an earlier table are left out, as they met there.
 
-Copies: a batch keeps the six smallest ids of each set of identical vectors; the further ones have five copies
+Copies: a batch keeps the k + 1 smallest ids of each set of identical vectors; the further ones have k copies
 at cosine 1 in the same batch and get those, so a vector that a third of all rows hold doesn't fill a bucket.
 """
 
@@ -92,15 +92,18 @@ def _substrings(codes: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(codes >> (t * bits)) & ((1 << bits) - 1) for t in range(TABLES)]
 
 
-def _encoder(models: dict[int, tuple[int, np.ndarray, np.ndarray]], blocks: dict[int, int] | None):
+def _plain(d: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The model of a dimension without a rotation: no bits, so one bucket."""
+    return 0, np.zeros(d, np.float32), np.zeros((d, 0), np.float32)
+
+
+def _encoder(models: dict[int, tuple[int, np.ndarray, np.ndarray]], blocks: dict[int, int] | None, k: int):
     """Rows (bucket, pair of blocks, id, code, vector) for each table; near holds the neighbours of rows that need no bucket.
     blocks: of the buckets that are dealt into blocks; if it is null, rows (bucket, rows in it) instead."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d, ids, x in unit_rows(batch):
-                if d not in models:
-                    continue
                 order = np.argsort(ids, kind="stable")
                 ids, short = ids[order], shortened(x[order])
                 raw = short.view(np.dtype((np.void, 2 * d))).ravel()
@@ -108,15 +111,15 @@ def _encoder(models: dict[int, tuple[int, np.ndarray, np.ndarray]], blocks: dict
                 by = np.argsort(same, kind="stable")
                 start = np.flatnonzero(np.append(True, np.diff(same[by]) != 0))
                 nth = np.arange(len(by)) - np.repeat(start, np.diff(np.append(start, len(by))))
-                spare = by[nth >= 6]
+                spare = by[nth > k]
                 if len(spare) and blocks is not None:
                     first = dict(zip(same[by[start]], start))
-                    near = [ids[by[first[same[i]] : first[same[i]] + 5]].astype("<i8").tobytes() for i in spare]
+                    near = [ids[by[first[same[i]] : first[same[i]] + k]].astype("<i8").tobytes() for i in spare]
                     n = len(spare)
                     yield pa.record_batch([pa.array(-1 - ids[spare] % 4096), pa.array(np.zeros(n, np.int64)), pa.array(ids[spare]), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.binary()), pa.array(near, pa.binary())], names=["g", "pair", "id", "code", "v", "near"])
-                keep = np.sort(by[nth < 6])
+                keep = np.sort(by[nth <= k])
                 ids, short = ids[keep], short[keep]
-                bits, mean, axes = models[d]
+                bits, mean, axes = models.get(d, _plain(d))
                 signs = (restored(short) - mean) @ axes > 0
                 codes = signs.astype(np.int64) @ (1 << np.arange(signs.shape[1], dtype=np.int64)) if bits else np.zeros(len(ids), np.int64)
                 blob = pa.Array.from_buffers(pa.binary(2 * d), len(ids), [None, pa.py_buffer(np.ascontiguousarray(short))]).cast(pa.binary())
@@ -165,11 +168,11 @@ def _searcher(bits_of: dict[int, int], blocks: dict[int, int], k: int):
         d, t = divmod(g >> 32, TABLES)
         ids, codes = rows["id"].to_numpy(), rows["code"].to_numpy()
         x = restored(np.frombuffer(b"".join(rows["v"].to_pylist()), np.int16).reshape(-1, d))
-        n, size = len(ids), blocks.get(g, 1)
-        earlier = codes & ((1 << (t * bits_of[d])) - 1)
+        n, size, bits = len(ids), blocks.get(g, 1), bits_of.get(d, 0)
+        earlier = codes & ((1 << (t * bits)) - 1)
         order = np.lexsort((ids, codes, earlier))
         ids, codes, x, earlier = ids[order], codes[order], x[order], earlier[order]
-        substrings = _substrings(codes, bits_of[d])[:t]
+        substrings = _substrings(codes, bits)[:t]
         a, b = divmod(pair, size)
         mine = _dealt(ids, size) == a
         sides = [(np.arange(n),) * 2] if a == b else [(np.flatnonzero(mine), np.flatnonzero(~mine)), (np.flatnonzero(~mine), np.flatnonzero(mine))]
@@ -219,11 +222,12 @@ def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "vectors", dimen
     to the smaller id. Keys are unique.
     """
     named = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"), F.col(dimension).cast("int").alias("d"))
-    counts = {r["d"]: r["n"] for r in named.where("d > 0 and id is not null").groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}
+    usable = named.where("d > 0 and id is not null and size(v) = d and forall(v, x -> x is not null and not isnan(x) and abs(x) < float('inf')) and exists(v, x -> x <> 0)")
+    counts = {r["d"]: r["n"] for r in usable.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.create_map(*(F.lit(x) for d, n in counts.items() for x in (d, min(1.0, SAMPLE / n)))) if counts else None
     samples: dict[int, list[np.ndarray]] = {}
     if counts:
-        chosen = named.where((F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < share[F.col("d")] * (1 << 20)) & (F.size("v") == F.col("d")))
+        chosen = usable.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < share[F.col("d")] * (1 << 20))
         for batch in chosen.toArrow().to_batches():
             for d, _, x in unit_rows(batch):
                 samples.setdefault(d, []).append(x)
@@ -232,13 +236,13 @@ def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "vectors", dimen
         bits = max(0, round(np.log2(counts[d] / BUCKET)))
         bits = min(bits, d // TABLES, 62 // TABLES)
         x = np.concatenate(found).astype(np.float64)
-        models[d] = (bits, *learn_rotation(x, bits * TABLES, seed)) if bits and len(x) > 1 else (0, np.zeros(d, np.float32), np.zeros((d, 0), np.float32))
+        models[d] = (bits, *learn_rotation(x, bits * TABLES, seed)) if bits and len(x) > 1 else _plain(d)
     blocks: dict[int, int] = {}
-    if large := [d for d in models if counts[d] > block(d)]:
-        sizes = named.where(F.col("d").isin(large)).mapInArrow(_encoder(models, None), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    if large := [d for d in counts if counts[d] > block(d)]:
+        sizes = named.where(F.col("d").isin(large)).mapInArrow(_encoder(models, None, k), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
         most = F.create_map(*(F.lit(x) for d in large for x in (d, block(d))))[F.floor(F.shiftright("g", 32) / TABLES).cast("int")]
         blocks = {r["g"]: -(-r["n"] // block((r["g"] >> 32) // TABLES)) for r in sizes.where(F.col("n") > most).collect()}
-    buckets = named.where("d > 0").mapInArrow(_encoder(models, blocks), PACKED)
+    buckets = named.where("d > 0").mapInArrow(_encoder(models, blocks, k), PACKED)
     found = buckets.groupBy("g", "pair").applyInArrow(_searcher({d: m[0] for d, m in models.items()}, blocks, k), "id long, near array<long>, cosine array<float>")
     return found.repartition("id").mapInArrow(_ranker(k), "vec_id long, rank int, neighbour long, cosine float")
 

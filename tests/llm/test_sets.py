@@ -91,6 +91,19 @@ def test_copies_of_a_vector(spark):
     assert len(got) == 3001 and all(r["n"] == r["d"] == 5 for r in got) and sum(r["c"] > 0.999 for r in got) == 3000
 
 
+def test_few_usable_vectors_among_many_rows(spark, rows):
+    nulls = spark.range(200_000).select(F.col("id").alias("vec_id"), F.lit(None).cast("array<float>").alias("vectors"), F.lit(2).alias("dimension"))
+    some = vectors(spark, [(500_000 + i, [1.0, 0.1 * i], 2) for i in range(2)])
+    got = nearest.nearest(nulls.unionByName(some.select("vec_id", "vectors", "dimension")))
+    assert rows(got.select("vec_id", "rank", "neighbour")) == [(500_000, 1, 500_001), (500_001, 1, 500_000)]
+
+
+def test_copies_have_k_neighbours(spark):
+    items = [(i, [1.0, 2.0, 3.0], 3) for i in range(500)]
+    got = nearest.nearest(vectors(spark, items), k=8).groupBy("vec_id").agg(F.countDistinct("neighbour").alias("d")).collect()
+    assert len(got) == 500 and all(r["d"] == 8 for r in got)
+
+
 def test_near_copies_that_fill_a_bucket(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.standard_normal(24) + 0.01 * rng.standard_normal((36_000, 24)), rng.standard_normal((24_000, 24))]).astype(np.float32)
