@@ -139,8 +139,10 @@ def last_seq(changes: DataFrame) -> DataFrame:
 
 
 def write_report(rows: DataFrame, path: str) -> None:
-    """A small result as a Markdown table on the driver."""
-    frame = rows.limit(1000).toPandas()
+    """A result of up to 1,000 rows as a Markdown table on the driver; a longer one is an error."""
+    frame = rows.limit(1001).toPandas()
+    if len(frame) > 1000:
+        raise ValueError("a report has 1,000 rows at most")
     lines = ["| " + " | ".join(map(str, frame.columns)) + " |", "|" + "---|" * len(frame.columns), *("| " + " | ".join(map(str, r)) + " |" for r in frame.itertuples(index=False))]
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as file:

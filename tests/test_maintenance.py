@@ -169,3 +169,11 @@ def test_text_helpers(spark):
     row = spark.createDataFrame([({"k": "v", "e": ""}, "c")], "a map<string,string>, c string")
     assert row.select(X.attribute_question(F.col("a"), F.col("c"))).first()[0] == "想找一款v的c，请推荐符合这些属性的商品"
     assert row.select(X.product_document(F.col("c"), F.lit(None).cast("string"), F.lit(""), F.map_filter("a", lambda k, v: v != ""))).first()[0] == "c。。k v"
+
+
+def test_report_of_too_many_rows(spark, tmp_path):
+    S.write_report(spark.range(1000), str(tmp_path / "whole.md"))
+    assert len((tmp_path / "whole.md").read_text().splitlines()) == 1002
+    with pytest.raises(ValueError, match="1,000 rows"):
+        S.write_report(spark.range(1001), str(tmp_path / "long.md"))
+    assert not (tmp_path / "long.md").exists()
