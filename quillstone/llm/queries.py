@@ -15,6 +15,14 @@ def _query(f):
     return f
 
 
+def _with_sql(sql):
+    def add(f):
+        ORACLE[f.__name__] = sql
+        return _query(f)
+
+    return add
+
+
 def _looked_at(spark, d):
     queries = table(spark, d, "planner_test").select(F.lit("query").alias("field_name"), "id", F.col("query").alias("text"))
     return queries.unionAll(table(spark, d, "products").select(F.lit("title"), "id", "title"))
@@ -32,7 +40,13 @@ def p5_forms(spark, d):
     return rows.select("field_name", "id", lookalike.canonical_text(F.col("text")).alias("form"), lookalike.script_finding(F.col("text")).alias("script_finding"))
 
 
-@_query
+@_with_sql(
+    """with v as (select vec_id, dimension, vectors::double[] as v from vectors where vec_id is not null and len(vectors) = dimension and dimension > 0
+  and len([x for x in vectors if x is null or not isfinite(x)]) = 0 and len([x for x in vectors if x <> 0]) > 0),
+near as (select a.vec_id, b.vec_id as other from v a join v b on a.dimension = b.dimension and a.vec_id <> b.vec_id
+  qualify row_number() over (partition by a.vec_id order by list_cosine_similarity(a.v, b.v) desc, b.vec_id) <= 5)
+select distinct least(vec_id, other) as vec_id_a, greatest(vec_id, other) as vec_id_b from near"""
+)
 def p4_found(spark, d):
     return nearest.neighbour_pairs(nearest.nearest(table(spark, d, "vectors")))
 

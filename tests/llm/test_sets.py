@@ -123,6 +123,42 @@ def test_near_copies_that_fill_a_bucket(spark):
     assert recall > 0.95
 
 
+def recall_of(spark, x, asked, **how):
+    """Share of the true neighbours of the asked rows that nearest() finds."""
+    data = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "vectors": pa.array(list(x.astype(np.float32))), "dimension": pa.array(np.full(len(x), x.shape[1], np.int32))})).repartition(6)
+    got = nearest.nearest(data, **how).where(F.col("vec_id").isin(list(map(int, asked)))).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = unit[asked] @ unit.T
+    score[np.arange(len(asked)), asked] = -9
+    truth = {(int(i), int(j)) for i, row in zip(asked, np.argsort(-score, axis=1)[:, :5]) for j in row}
+    return len(truth & {(r["vec_id"], r["neighbour"]) for r in got}) / len(truth)
+
+
+@pytest.mark.parametrize("d", [32, 64])
+@pytest.mark.parametrize(("bucket", "bits"), [(512, 5), (8, 11)])
+def test_many_bits_a_table(spark, d, bucket, bits):
+    rng = np.random.default_rng(d)
+    x = np.repeat(rng.standard_normal((2000, d)), 8, axis=0)
+    x += 0.17 * rng.standard_normal(x.shape)  # neighbours at a cosine of about 0.97
+    assert round(np.log2(len(x) / bucket)) == bits and bits * nearest.table_count(bits) > (d if bits == 11 else 0)
+    assert recall_of(spark, x, np.arange(0, len(x), 20), bucket=bucket) >= 0.95
+
+
+@pytest.mark.parametrize("d", [32, 64])
+def test_bucket_of_fifty_blocks(spark, monkeypatch, d):
+    monkeypatch.setattr(nearest, "BLOCK", (200, 200))
+    rng = np.random.default_rng(d)
+    x = np.concatenate([rng.standard_normal(d) + 0.01 * rng.standard_normal((10_000, d)), rng.standard_normal((5_000, d))])
+    assert recall_of(spark, x, np.arange(0, 10_000, 50)) >= 0.99
+
+
+def test_more_bits_than_dimensions():
+    x = np.random.default_rng(1).standard_normal((500, 6))
+    mean, axes = nearest.learn_rotation(x, 15)
+    assert axes.shape == (6, 15) and np.allclose(axes[:, 6:12].T @ axes[:, 6:12], np.eye(6), atol=1e-9)
+    assert np.allclose(nearest.restored(nearest.shortened(x)), x / np.linalg.norm(x, axis=1)[:, None], atol=1e-6)
+
+
 def pack(spark, sizes, capacity=100):
     data = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, size long")
     return packing.pack_sizes(data.repartition(3), capacity).collect()
