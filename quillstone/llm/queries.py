@@ -61,6 +61,11 @@ def p8_shares(spark, d):
     return spans.shared_shares(table(spark, d, "documents"))
 
 
+@_query
+def p8_removed(spark, d):
+    return spans.without_repetitions(table(spark, d, "documents"))
+
+
 def _segments(spark, d):
     return languages.segments(table(spark, d, "products"), table(spark, d, "product_langs"), ["title", "description"])
 

@@ -1,4 +1,4 @@
-"""Spans of LENGTH characters or more that stand word for word in other documents.
+"""Spans of LENGTH characters or more that stand word for word in other documents, and texts without their repetitions.
 
 Sliding sentence spans: from the start of a sentence, the run of sentences that fits into SPAN characters is hashed, and
 the hashes are joined over all documents. Two changes make the result exact to the character. A sentence may be longer
@@ -8,8 +8,12 @@ and a run without a sentence's end in its last quarter is cut at SPAN. CONTEXT +
 piece of LENGTH characters holds a run that starts alike wherever the piece stands. And repeated runs only name
 candidates: around each, all pieces of LENGTH characters are hashed and joined again, and those in two documents are shared.
 
-Both joins count documents by hash. A batch first settles hashes that it has from two documents and sends one row
+All joins count documents by hash. A batch first settles hashes that it has from two documents and sends two rows
 of each onwards, so a span that a third of all documents hold is no hot key.
+
+without_repetitions() is the cleaning step: from each sentence, the shortest run of consecutive sentences of LENGTH
+characters or more is hashed and joined over all documents; a sentence goes if any such run covers it that also stands in a
+document with a smaller id, so the first of all occurrences stays.
 """
 
 from __future__ import annotations
@@ -22,13 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.session import cut
-
 CONTEXT, SPAN = 8, 120
 #: Characters that are worked on at a time, so that memory doesn't follow the batch.
 CHUNK = 1 << 20
-#: Words of 64 bits in the broadcast filter of document ids; its size is the same for any input (at most 4 MB).
-FILTER_WORDS = 1 << 18
 ODD = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 SENTENCE_ENDS, SOFT_ENDS, CLAUSE_ENDS = "。！？\n", ".!?", ",;:，；：、)）"
@@ -130,30 +130,32 @@ def anchors(points: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     return chosen, end, rolling.of(chosen, end)
 
 
-def _settled(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(known, key): rows whose hash this batch has from two documents are known; of those, all but one get a key of
-    their own, as the join has nothing more to tell them."""
+def _settled(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(several, low, key): whether this batch has a row's hash from two documents, and the lowest of them. Of such rows,
+    those of the lowest and one of the highest document keep the hash as their key; the others get keys of their own, as
+    the join has nothing more to tell them but which document is the first."""
     order = np.lexsort((docs, hashes))
     h, d = hashes[order], docs[order]
-    start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(h)))
+    low = np.repeat(d[start], size)
     several = np.repeat(d[start] != d[start + size - 1], size)
-    first = np.zeros(len(h), bool)
-    first[start] = True
-    key = np.where(several & ~first, mixed(np.arange(len(h), dtype=np.uint64) ^ h), h)
+    kept = d == low
+    kept[start + size - 1] = True
+    key = np.where(kept, h, mixed(np.arange(len(h), dtype=np.uint64) ^ h))
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
-    return several[back], key[back].view(np.int64)
+    return several[back], low[back], key[back].view(np.int64)
 
 
-def _batch(hashes: list, docs: list, starts: list, sizes: list) -> Iterator[pa.RecordBatch]:
-    if hashes:
-        h, d, s, n = map(np.concatenate, (hashes, docs, starts, sizes))
-        known, key = _settled(h, d)
-        yield pa.record_batch([pa.array(key), pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(known)], names=["key", "doc", "start", "size", "known"])
+def _batch(found: tuple[list, ...]) -> Iterator[pa.RecordBatch]:
+    if found[0]:
+        h, d, s, n = map(np.concatenate, found)
+        several, low, key = _settled(h, d)
+        yield pa.record_batch([pa.array(key), pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(several), pa.array(low)], names=["key", "doc", "start", "size", "several", "least"])
 
 
-ROW = "key long, doc long, start int, size short, known boolean"
+ROW = "key long, doc long, start int, size int, several boolean, least long"
 
 
 def _anchor_rows(length: int):
@@ -166,7 +168,7 @@ def _anchor_rows(length: int):
                 text = np.searchsorted(offsets, start, "right") - 1
                 for to, x in zip(found, (h, ids[first:beyond][text], start - offsets[text], end - start)):
                     to.append(x)
-            yield from _batch(*found)
+            yield from _batch(found)
 
     return run
 
@@ -195,14 +197,15 @@ def _piece_rows(length: int):
                     text = np.searchsorted(offsets, piece, "right") - 1
                     for to, x in zip(found, (Rolling(points).of(piece, piece + length), ids[first:beyond][text], piece - offsets[text], np.zeros(len(piece), np.int64))):
                         to.append(x)
-            yield from _batch(*found)
+            yield from _batch(found)
 
     return run
 
 
 def _in_two(rows: DataFrame) -> DataFrame:
+    """(doc, start, size, first): the rows whose hash two documents have; first: whether the document is the lowest of them."""
     of = Window.partitionBy("key")
-    return rows.withColumns({"low": F.min("doc").over(of), "high": F.max("doc").over(of)}).where("known or low <> high").select("doc", "start", "size")
+    return rows.withColumns({"low": F.min("doc").over(of), "high": F.max("doc").over(of)}).where("several or low <> high").select("doc", "start", "size", (F.least("least", "low") == F.col("doc")).alias("first"))
 
 
 def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
@@ -212,15 +215,12 @@ def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text",
     repetitions of its own text don't count. length is at least 129 plus a few.
     """
     texts = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(f"doc is not null and length(text) >= {int(length)}")
-    runs = cut(_in_two(texts.mapInArrow(_anchor_rows(length), ROW)))
-    spot = F.pmod(F.xxhash64("doc"), F.lit(FILTER_WORDS * 64))
-    words = runs.select(spot.alias("s")).groupBy(F.floor(F.col("s") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
-    likely = texts.withColumn("s", spot).join(F.broadcast(words), F.expr("word = floor(s / 64) and (shiftright(bits, cast(s % 64 as int)) & 1L) = 1"), "left_semi")
+    runs = _in_two(texts.mapInArrow(_anchor_rows(length), ROW))
     wanted = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
-    pieces = likely.join(wanted, "doc").select("doc", "text", "runs").mapInArrow(_piece_rows(length), ROW)
+    pieces = _in_two(texts.join(wanted, "doc").select("doc", "text", "runs").mapInArrow(_piece_rows(length), ROW))
     by_doc = Window.partitionBy("doc").orderBy("start")
     # Rows of one id repeat their starts; the lag of such a row is 0, so they need no distinct().
-    islands = _in_two(pieces).select("doc", "start").withColumn("new", F.coalesce(F.col("start") - F.lag("start").over(by_doc) > length, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(by_doc))
+    islands = pieces.select("doc", "start").withColumn("new", F.coalesce(F.col("start") - F.lag("start").over(by_doc) > length, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(by_doc))
     spans = islands.groupBy("doc", "island").agg(F.min("start").cast("int").alias("start_char"), (F.max("start") + length).cast("int").alias("end_char"))
     return spans.select(F.col("doc").alias("doc_id"), "start_char", "end_char")
 
@@ -231,3 +231,70 @@ def shared_shares(documents: DataFrame, key: str = "doc_id", text: str = "text",
     sizes = documents.select(F.col(key).cast("long").alias("doc_id"), F.length(text).alias("n_chars"))
     both = sizes.join(spans, "doc_id", "left").withColumns({"shared_chars": F.coalesce("shared_chars", F.lit(0)), "n_spans": F.coalesce("n_spans", F.lit(0))})
     return both.withColumn("share", F.try_divide(F.col("shared_chars"), F.col("n_chars")))
+
+
+def sentence_starts(text: str) -> list[int]:
+    """Where sentences start, and the text's length: after an end of a sentence and the white space that follows it."""
+    marks = start_ranks(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")) == 3
+    return [0, *(int(i) for i in np.flatnonzero(marks) if i), len(text)]
+
+
+def _sentence_runs(length: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: tuple[list, ...] = ([], [], [], [])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            texts = batch.column(1).to_pylist()
+            for first, beyond, points, offsets in _chunks(texts):
+                rolling = Rolling(points)
+                for i in range(first, beyond):
+                    at = np.array(sentence_starts(texts[i]), np.int64)
+                    end = np.searchsorted(at, at[:-1] + length)
+                    ok = end < len(at)
+                    start, end = at[:-1][ok], at[end[ok]]
+                    h = rolling.of(offsets[i - first] + start, offsets[i - first] + end)
+                    # A run's end follows from its start; its size makes room for a check of its text.
+                    for to, x in zip(found, (h, np.full(len(start), ids[i]), start, h >> np.uint64(33))):
+                        to.append(x)
+            yield from _batch(found)
+
+    return run
+
+
+def _cleaned(length: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if not text or not found:
+                    rows.append((doc, text, 0, 0))
+                    continue
+                at = np.array(sentence_starts(text), np.int64)
+                start, check = (np.array([f[c] for f in found], np.int64) for c in ("start", "size"))
+                i, j = np.searchsorted(at, start), np.searchsorted(at, start + length)
+                ok = j < len(at)
+                i, j, check = i[ok], j[ok], check[ok]
+                rolling = Rolling(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"))
+                mine = (rolling.of(at[i], at[j]) >> np.uint64(33)).astype(np.int64) == check  # not of another row of this id
+                gone = np.zeros(len(at), np.int64)
+                np.add.at(gone, i[mine], 1)
+                np.add.at(gone, j[mine], -1)
+                keep = np.cumsum(gone)[:-1] == 0
+                left = "".join(text[a:b] for a, b, k in zip(at.tolist(), at[1:].tolist(), keep) if k)
+                rows.append((doc, left, int((~keep).sum()), len(text) - len(left)))
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int32(), pa.int32()))], names=["doc_id", "text", "removed_sentences", "removed_chars"])
+
+    return run
+
+
+def without_repetitions(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
+    """(doc_id, text, removed_sentences, removed_chars) of every row: texts without the sentences that a repeated run covers
+    which stands in a document with a smaller id, too. A run is the shortest of consecutive sentences with length characters.
+
+    A null text stays null; rows with a null id are kept as they are; rows of one id are one document, whose own repetitions stay.
+    """
+    texts = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    later = _in_two(texts.where("doc is not null and text is not null").mapInArrow(_sentence_runs(length), ROW)).where("not first")
+    lists = later.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("found"))
+    return texts.join(lists, "doc", "left").select("doc", "text", "found").mapInArrow(_cleaned(length), "doc_id long, text string, removed_sentences int, removed_chars int")

@@ -58,6 +58,48 @@ def test_spans_of_repeated_rows_long_texts_and_none(spark, rows):
     assert rows(spans.shared_spans(docs.limit(0))) == []
 
 
+def brute_cleaning(docs, length):
+    runs, first = {}, {}
+    for i, text in docs:
+        if i is None or text is None:
+            continue
+        at = spans.sentence_starts(text)
+        for a in at[:-1]:
+            end = next((b for b in at if b >= a + length), None)
+            if end is not None:
+                runs.setdefault((i, text), []).append((a, end))
+                first[text[a:end]] = min(i, first.get(text[a:end], i))
+    out = []
+    for i, text in docs:
+        at = spans.sentence_starts(text) if text else [0, 0]
+        gone = [any(x <= a and b <= y and first[text[x:y]] < i for x, y in runs.get((i, text), [])) for a, b in zip(at, at[1:])]
+        out.append((i, None if text is None else "".join(text[a:b] for a, b, g in zip(at, at[1:], gone) if not g), sum(gone)))
+    return sorted(out, key=repr)
+
+
+def test_cleaning_against_brute_force(spark, rows):
+    rng = random.Random(5)
+    sentence = lambda n: "".join(rng.choices("abcdefg hij", k=n)).strip() + rng.choice([". ", "! ", "。", "\n"])
+    common = [sentence(rng.randrange(20, 160)) for _ in range(12)]
+    docs = []
+    for i in range(60):
+        at = rng.randrange(0, 10)
+        docs.append((i, "".join([sentence(60), *common[at : at + rng.randrange(0, 6)], sentence(90), *common[2:5]])))
+    docs += [(100, docs[7][1]), (100, "alone. " * 60), (101, None), (102, ""), (103, "short."), (None, docs[7][1])]
+    docs += [(200 + i, "".join(common)) for i in range(40)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"doc": F.lit(1), "found": F.lit(2)})
+    got = rows(spans.without_repetitions(table.repartition(3)).select("doc_id", "text", "removed_sentences"))
+    assert got == brute_cleaning(docs, 200)
+    assert sum(r[2] for r in got) > 300 and rows(spans.without_repetitions(table.limit(0))) == []
+
+
+def test_repeated_rows_of_an_id_in_other_batches(spark, rows):
+    text = "".join(random.Random(9).choices("abcdef ", k=400))
+    parts = [spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"), spark.createDataFrame([(1, "q" * 30 + text)], "doc_id long, text string")]
+    got = rows(spans.shared_spans(parts[0].coalesce(1).unionByName(parts[1].coalesce(1))))
+    assert got == [(1, 0, 430), (2, 0, 400)]
+
+
 def vectors(spark, items):
     return spark.createDataFrame(items, "vec_id long, vectors array<float>, dimension int").withColumns({"id": F.lit(1), "g": F.lit(2)})
 
