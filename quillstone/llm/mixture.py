@@ -1,33 +1,37 @@
 """Mixing sources to target shares of all tokens, small sources repeated up to a cap.
 
-The tokens of a source are packed into blocks of BLOCK tokens (documents in the order of their ids, within chunks, so that
-positions are running sums over bounded groups). A mix is as large as the caps allow with every share met. Its blocks are
-laid out in output shards: the source counts of a shard are multinomial draws given the sources' totals, so shares hold
-exactly and not on average. The j-th block that a source gives is its block number perm(j mod blocks) of round j div blocks:
-a pseudorandom index permutation, different in each round. So a source is used in whole rounds and in a random part of one more,
-and shards are joined with blocks by index alone. A document is repeated as often as the block in which it starts.
+The tokens of a source are packed into blocks of BLOCK tokens: its documents lie one after the other, by chunks that a hash
+of their ids gives and then by id, and are cut where a block ends, so only a source's last block is short. A mix is as
+large as the caps allow with every share met. Its blocks are laid out in output shards: the source counts of a shard are
+multinomial draws given the sources' totals, so shares hold exactly and not on average; a tree of splits draws them, each
+shard by itself, for any number of shards. The j-th block that a source gives is its block number perm(j mod blocks) of
+round j div blocks: a pseudorandom index permutation, different in each round. Shards are joined with blocks by index
+alone. A part of a document is used as often as the draws name its block; repeats are read off the same draws, by the
+inverse permutation.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillstone.llm.tokens import VOCABULARY, count_tokens
 from quillstone.session import cut
 
 BLOCK = 1024
-#: Chunks that a source's documents are hashed to, at most, and tokens of a chunk, about, below that.
-CHUNKS, CHUNK_TOKENS = 4096, 2_000_000
-#: Steps that the part of a round is found in.
-STEPS = 1024
-SHARDS, SHARD_BLOCKS = 4096, 256
+#: Tokens, about, of a chunk of documents whose positions are summed up in one group.
+CHUNK_TOKENS = 2_000_000
+#: Blocks of an output shard, about.
+SHARD_BLOCKS = 256
+#: Rows of this many or more are split between shards by the normal limit of the exact law, which numpy doesn't draw from there.
+MANY = 10**9
 
 
 def plain_source(source: Column) -> Column:
@@ -64,65 +68,32 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray, inverse: bool
     return out.astype(np.int64)
 
 
-def permutation(index: Column, size: Column, key: Column, inverse: bool = False) -> Column:
-    """permuted() of columns without nulls."""
-
-    def run(i: pa.Array, n: pa.Array, k: pa.Array) -> pa.Array:
-        return pa.array(permuted(*(x.to_numpy(zero_copy_only=False) for x in (i, n, k)), inverse))
-
-    return F.arrow_udf(run, T.LongType())(index.cast("long"), size.cast("long"), key.cast("long"))
-
-
 @dataclass
 class Corpus:
-    """docs: (doc_id, source, n_tokens, block_no); sources: source -> (tokens, blocks)."""
+    """docs: (doc_id, source, n_tokens, first): first is a document's place among the tokens of its source; sources: source -> tokens."""
 
     docs: DataFrame
-    sources: dict[str, tuple[int, int]]
-
-
-def lay_out(sizes: DataFrame) -> Corpus:
-    """Blocks of the documents (doc_id, source, n_tokens) of each source; those without source or tokens are left out."""
-    sized = cut(sizes.where("source is not null and n_tokens > 0 and doc_id is not null"))
-    totals = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    if not totals:
-        return Corpus(sized.withColumn("block_no", F.lit(0).cast("long")), {})
-    chunks = F.create_map(*(F.lit(x) for s, n in totals.items() for x in (s, min(CHUNKS, 1 + n // CHUNK_TOKENS))))
-    chunked = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), chunks[F.col("source")]))
-    before = Window.partitionBy("source", "chunk").orderBy("doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    placed = chunked.withColumn("local", F.floor(F.coalesce(F.sum("n_tokens").over(before), F.lit(0)) / BLOCK))
-    # At most CHUNKS rows for each source.
-    ends = {(r["source"], r["chunk"]): -(-r["n"] // BLOCK) for r in chunked.groupBy("source", "chunk").agg(F.sum("n_tokens").alias("n")).collect()}
-    first, blocks = [], dict.fromkeys(totals, 0)
-    for s, c in sorted(ends):
-        first.append((s, c, blocks[s]))
-        blocks[s] += ends[s, c]
-    offsets = sizes.sparkSession.createDataFrame(first, "source string, chunk long, first long")
-    docs = placed.join(F.broadcast(offsets), ["source", "chunk"]).select("doc_id", "source", "n_tokens", (F.col("first") + F.col("local")).alias("block_no"))
-    return Corpus(cut(docs), {s: (n, blocks[s]) for s, n in totals.items()})
+    sources: dict[str, int]
 
 
 @dataclass
 class Part:
-    """A source in a mix: its wanted tokens, whole rounds, and the part of one more round (permuted numbers below cut)."""
+    """A source in a mix: its tokens and blocks, and how many blocks the mix draws of it."""
 
     mix: int
     source: str
     target: float
     cap: int
     tokens: int
-    blocks: int
-    wanted: float
-    rounds: int = 0
-    cut: int = 0
+    drawn: int = 0
 
     @property
     def key(self) -> int:
         return hash_of(f"{self.mix}/{self.source}")
 
     @property
-    def drawn(self) -> int:
-        return self.rounds * self.blocks + self.cut
+    def blocks(self) -> int:
+        return -(-self.tokens // BLOCK)
 
 
 def hash_of(text: str) -> int:
@@ -132,6 +103,23 @@ def hash_of(text: str) -> int:
     return int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big") >> 2
 
 
+def lay_out(sizes: DataFrame, targets: DataFrame) -> Corpus:
+    """Places of the documents (doc_id, source, n_tokens) of the sources that targets name; those without source or tokens are left out."""
+    wanted = targets.select(plain_source(F.col("source")).alias("source")).where("source is not null").distinct()
+    sized = cut(sizes.where("source is not null and n_tokens > 0 and doc_id is not null").join(F.broadcast(wanted), "source", "left_semi"))
+    totals = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # as many rows as targets, at most
+    if not totals:
+        return Corpus(sized.withColumn("first", F.lit(0).cast("long")), {})
+    chunks = F.create_map(*(F.lit(x) for s, n in totals.items() for x in (s, 1 + n // CHUNK_TOKENS)))
+    chunked = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), chunks[F.col("source")]))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = chunked.groupBy("source", "chunk").agg(F.sum("n_tokens").alias("n"))
+    starts = sums.select("source", "chunk", F.coalesce(F.sum("n").over(before("source").orderBy("chunk")), F.lit(0)).alias("chunk_start"))
+    placed = chunked.withColumn("local", F.coalesce(F.sum("n_tokens").over(before("source", "chunk").orderBy("doc_id", "n_tokens")), F.lit(0)))
+    docs = placed.join(starts, ["source", "chunk"]).select("doc_id", "source", "n_tokens", (F.col("chunk_start") + F.col("local")).alias("first"))
+    return Corpus(cut(docs), totals)
+
+
 def plan(corpus: Corpus, targets: DataFrame) -> list[Part]:
     """The parts of each mix, as large as the caps allow while all shares are met.
 
@@ -146,63 +134,145 @@ def plan(corpus: Corpus, targets: DataFrame) -> list[Part]:
             to[1] = max(to[1], r["max_repeats"] or 0)
     parts = []
     for mix in sorted({m for m, _ in rows}):
-        of = [(s, share, int(cap), *corpus.sources.get(s, (0, 0))) for (m, s), (share, cap) in sorted(rows.items()) if m == mix]
-        total = min((cap * n / share for _, share, cap, n, _ in of if share and n and cap), default=0.0)
-        parts += [Part(mix, s, share, cap, n, b, total * share if n and cap else 0.0) for s, share, cap, n, b in of]
-    _cut_rounds(corpus, parts)
+        of = [Part(mix, s, share, int(cap), corpus.sources.get(s, 0)) for (m, s), (share, cap) in sorted(rows.items()) if m == mix]
+        total = min((p.cap * p.tokens / p.target for p in of if p.target and p.tokens and p.cap), default=0.0)
+        for p in of:
+            if p.tokens and p.cap:
+                p.drawn = min(p.cap * p.blocks, round(total * p.target * p.blocks / p.tokens))
+        parts += of
     return parts
 
 
-def _rows(parts: list[Part], docs: DataFrame) -> DataFrame:
-    """(mix_id, source, blocks, key, rounds, cut) of the parts that give something; a row for each target."""
-    rows = [(p.mix, p.source, p.blocks, p.key + p.rounds, p.rounds, p.cut) for p in parts if p.blocks]
-    return F.broadcast(docs.sparkSession.createDataFrame(rows, "mix_id int, source string, blocks long, key long, rounds int, cut long"))
-
-
-def _weights(corpus: Corpus, parts: list[Part]) -> DataFrame:
-    starts = corpus.docs.groupBy("source", "block_no").agg(F.sum("n_tokens").alias("weight"))
-    named = starts.join(_rows(parts, corpus.docs), "source")
-    return named.withColumn("place", permutation(F.col("block_no"), F.col("blocks"), F.col("key"), inverse=True)).withColumn("step", F.floor(F.col("place") * STEPS / F.col("blocks")))
-
-
-def _cut_rounds(corpus: Corpus, parts: list[Part]) -> None:
-    """Sets whole rounds and where the last is cut: sums over STEPS steps of the permutation, then over one step's blocks."""
-    live = [p for p in parts if p.tokens and p.wanted > 0]
-    for p in live:
-        p.rounds = min(p.cap, int(p.wanted / p.tokens + 1e-9))
-    if not live:
-        return
-    weights = cut(_weights(corpus, parts).select("mix_id", "source", "place", "step", "weight"))
-    sums: dict[tuple, dict[int, int]] = {}
-    for r in weights.groupBy("mix_id", "source", "step").agg(F.sum("weight").alias("w")).collect():
-        sums.setdefault((r["mix_id"], r["source"]), {})[r["step"]] = r["w"]
-    open_at = {}
-    for p in live:
-        rest, at = p.wanted - p.rounds * p.tokens, 0
-        of = sums.get((p.mix, p.source), {})
-        while at < STEPS and of.get(at, 0) <= rest:
-            rest -= of.get(at, 0)
-            at += 1
-        p.cut = -(-at * p.blocks // STEPS) if at < STEPS else p.blocks
-        if p.rounds >= p.cap:
-            p.cut = 0
-        elif at < STEPS:
-            open_at[p.mix, p.source] = (at, rest)
-    if not open_at:
-        return
-    wanted = corpus.docs.sparkSession.createDataFrame([(m, s, a, float(x)) for (m, s), (a, x) in open_at.items()], "mix_id int, source string, step long, rest double")
-    inside = weights.join(F.broadcast(wanted), ["mix_id", "source", "step"])
-    upto = Window.partitionBy("mix_id", "source").orderBy("place")
-    last = inside.withColumn("sum", F.sum("weight").over(upto)).where("sum <= rest").groupBy("mix_id", "source").agg(F.max("place").alias("place"))
-    for r in last.collect():
-        next(p for p in live if (p.mix, p.source) == (r["mix_id"], r["source"])).cut = r["place"] + 1
+def split_between(left: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of n rows drawn without replacement come from each group of left rows; one group after the other."""
+    out, rest, of = np.zeros_like(left), int(n), int(left.sum())
+    for i, here in enumerate(left.tolist()):
+        others = of - here
+        low, high = max(0, rest - others), min(here, rest)
+        if low == high:
+            out[i] = low
+        elif of < MANY:
+            out[i] = rng.hypergeometric(here, others, rest)
+        else:
+            share = here / of
+            spread = np.sqrt(rest * share * (1 - share) * ((of - rest) / max(1, of - 1)))
+            out[i] = min(high, max(low, round(rest * share + spread * rng.standard_normal())))
+        rest, of = rest - int(out[i]), others
+    return out
+
+
+def shard_draw(drawn: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(used, taken) of each source: what the shards before this one draw of it, and what this one draws.
+
+    Shards are the leaves of a tree; at each node the sources' counts are split between its halves by a generator that
+    the node seeds, so all shards agree on the splits above them, and none needs the others.
+    """
+    low, high, used, taken = 0, shards, np.zeros_like(drawn), drawn
+    while high - low > 1:
+        middle = (low + high) // 2
+        n = int(taken.sum()) * (middle - low) // (high - low)
+        first = split_between(taken, n, np.random.default_rng([seed, low, high]))
+        if shard < middle:
+            high, taken = middle, first
+        else:
+            low, used, taken = middle, used + first, taken - first
+    return used, taken
+
+
+def _by_mix(parts: list[Part]) -> dict[int, list[Part]]:
+    return {m: [p for p in parts if p.mix == m] for m in sorted({p.mix for p in parts})}
+
+
+def mixed_blocks(corpus: Corpus, parts: list[Part], seed: int = 5) -> DataFrame:
+    """(mix_id, shard, slot, source, round, block_no, n_tokens): the blocks of each mix in the order of its output shards.
+
+    All blocks have BLOCK tokens but the last one of a source.
+    """
+    spark = corpus.docs.sparkSession
+    schema = "mix_id int, shard long, slot int, source string, round long, block_no long, n_tokens long"
+    whole = []
+    for mix, named in _by_mix(parts).items():
+        of = [p for p in named if p.drawn]
+        drawn = np.array([p.drawn for p in of], np.int64)
+        shards = -(-int(drawn.sum()) // SHARD_BLOCKS)
+
+        def run(batches: Iterable[pa.RecordBatch], mix=mix, of=of, drawn=drawn, shards=shards) -> Iterator[pa.RecordBatch]:
+            blocks, keys, last = (np.array([f(p) for p in of], np.int64) for f in (lambda p: p.blocks, lambda p: p.key, lambda p: p.tokens - (p.blocks - 1) * BLOCK))
+            names = pa.array([p.source for p in of])
+            for batch in batches:
+                for shard in batch.column(0).to_pylist():
+                    used, taken = shard_draw(drawn, shards, shard, seed + mix)
+                    source = np.repeat(np.arange(len(of)), taken)
+                    j = used[source] + np.arange(len(source)) - np.repeat(np.cumsum(taken) - taken, taken)
+                    turn = j // blocks[source]
+                    block = permuted(j % blocks[source], blocks[source], keys[source] + turn)
+                    order = np.random.default_rng([seed, mix, shard]).permutation(len(source))
+                    source, turn, block = source[order], turn[order], block[order]
+                    n = np.where(block == blocks[source] - 1, last[source], BLOCK)
+                    size = len(source)
+                    yield pa.record_batch([pa.array(np.full(size, mix, np.int32)), pa.array(np.full(size, shard)), pa.array(np.arange(size, dtype=np.int32)), names.take(pa.array(source)), pa.array(turn), pa.array(block), pa.array(n)], names=["mix_id", "shard", "slot", "source", "round", "block_no", "n_tokens"])
+
+        whole.append(spark.range(shards).mapInArrow(run, schema))
+    return reduce(DataFrame.unionByName, whole) if whole else spark.createDataFrame([], schema)
+
+
+def block_parts(corpus: Corpus) -> DataFrame:
+    """(source, block_no, at, doc_id, start_token, n_tokens): what lies in each block, from token at on; a document is cut at block ends."""
+    end = F.col("first") + F.col("n_tokens")
+    spread = corpus.docs.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((end - 1) / BLOCK))))
+    low, high = F.greatest("first", F.col("block_no") * BLOCK), F.least(end, (F.col("block_no") + 1) * BLOCK)
+    return spread.select("source", "block_no", (low - F.col("block_no") * BLOCK).alias("at"), "doc_id", (low - F.col("first")).alias("start_token"), (high - low).alias("n_tokens"))
+
+
+def filled_blocks(corpus: Corpus, parts: list[Part], seed: int = 5) -> DataFrame:
+    """(mix_id, shard, slot, at, doc_id, start_token, n_tokens): the content of mixed_blocks(), joined by index. One source's blocks
+    are spread over all tasks, as the block number is part of the key."""
+    blocks = mixed_blocks(corpus, parts, seed).select("mix_id", "shard", "slot", "source", "block_no")
+    return blocks.join(block_parts(corpus), ["source", "block_no"]).select("mix_id", "shard", "slot", "at", "doc_id", "start_token", "n_tokens")
+
+
+def repeats(block: np.ndarray, blocks: np.ndarray, drawn: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How often the draws of a source name a block: in each whole round, and in the last one if its place there is drawn."""
+    rounds, rest = drawn // blocks, drawn % blocks
+    return rounds + (permuted(block, blocks, key + rounds, inverse=True) < rest)
 
 
 def mixed_documents(corpus: Corpus, parts: list[Part]) -> DataFrame:
-    """(mix_id, doc_id, source, n_tokens, repeats): every document of the mix's sources, with how often it is used."""
-    named = corpus.docs.join(_rows(parts, corpus.docs), "source")
-    place = permutation(F.col("block_no"), F.col("blocks"), F.col("key"), inverse=True)
-    return named.select("mix_id", "doc_id", "source", "n_tokens", (F.col("rounds") + (place < F.col("cut")).cast("int")).alias("repeats"))
+    """(mix_id, doc_id, source, part_no, start_token, n_tokens, repeats): every document of the mix's sources, with how often it is used.
+
+    A document is in one part unless its blocks are used a different number of times; then it is in as many parts as it takes.
+    """
+    schema = "mix_id int, doc_id long, source string, part_no int, start_token long, n_tokens long, repeats long"
+    of_source: dict[str, list[Part]] = {}
+    for p in parts:
+        if p.tokens:
+            of_source.setdefault(p.source, []).append(p)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes, firsts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
+            names = np.array(batch.column(1).to_pylist(), object)
+            for source in dict.fromkeys(names):
+                rows = np.flatnonzero(names == source)
+                first, end = firsts[rows], firsts[rows] + sizes[rows]
+                low = first // BLOCK
+                n = (end - 1) // BLOCK - low + 1
+                owner = np.repeat(np.arange(len(rows)), n)
+                block = low[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                for p in of_source.get(source, []):
+                    many = lambda x: np.full(len(block), x, np.int64)
+                    used = repeats(block, many(p.blocks), many(p.drawn), many(p.key))
+                    new = np.append(True, (np.diff(owner) != 0) | (np.diff(used) != 0))
+                    at = np.flatnonzero(new)
+                    doc = owner[at]
+                    start = np.maximum(first[doc], block[at] * BLOCK)
+                    whole = np.append(doc[1:] != doc[:-1], True)  # the last part of its document
+                    stop = np.where(whole, end[doc], np.append(block[at[1:]] * BLOCK, 0))
+                    number = np.arange(len(at)) - np.maximum.accumulate(np.where(np.append(True, np.diff(doc) != 0), np.arange(len(at)), 0))
+                    size = len(at)
+                    yield pa.record_batch([pa.array(np.full(size, p.mix, np.int32)), pa.array(ids[rows][doc]), pa.array([source] * size, pa.string()), pa.array(number.astype(np.int32)), pa.array(start - first[doc]), pa.array(stop - start), pa.array(used[at])], names=["mix_id", "doc_id", "source", "part_no", "start_token", "n_tokens", "repeats"])
+
+    return corpus.docs.select("doc_id", "source", "n_tokens", "first").mapInArrow(run, schema)
 
 
 def share_report(corpus: Corpus, parts: list[Part]) -> DataFrame:
@@ -215,33 +285,21 @@ def share_report(corpus: Corpus, parts: list[Part]) -> DataFrame:
     return both.select("mix_id", "source", "target_share", share.alias("share"), "tokens", "available_tokens", F.try_divide(F.col("tokens"), F.col("available_tokens")).alias("times_used"), "max_repeats")
 
 
-def mixed_blocks(corpus: Corpus, parts: list[Part], seed: int = 5) -> DataFrame:
-    """(mix_id, shard, slot, source, round, block_no, n_tokens): the blocks of each mix in the order of its output shards.
+def share_check(corpus: Corpus, parts: list[Part]) -> DataFrame:
+    """(mix_id, source, target_share, available, reachable_share, share_met, cap_kept, none_lost) for each target of each mix.
 
-    n_tokens are those of the documents that start in the block. Each shard draws its sources without replacement from
-    what is left, which is a multinomial draw given the totals.
+    reachable_share is the target's part of the targets that have documents; it is met if the tokens used are within two
+    blocks of it (a block of its own, and rounding of the others). cap_kept: no token is used more than max_repeats times;
+    none_lost: the parts of the documents add up to the source.
     """
-    spark = corpus.docs.sparkSession
-    draws, rng = [], np.random.default_rng(seed)
-    for mix in sorted({p.mix for p in parts}):
-        of = [p for p in parts if p.mix == mix and p.drawn]
-        left = np.array([p.drawn for p in of], np.int64)
-        used = np.zeros(len(of), np.int64)
-        shards = max(1, min(SHARDS, -(-int(left.sum()) // SHARD_BLOCKS))) if of else 0
-        for shard in range(shards):
-            n = -(-int(left.sum()) // (shards - shard))
-            take = rng.multivariate_hypergeometric(left, n, method="marginals")
-            draws += [(mix, shard, p.source, p.blocks, p.key, int(u), int(t), int(n)) for p, u, t in zip(of, used, take) if t]
-            left, used = left - take, used + take
-    schema = "mix_id int, shard int, source string, blocks long, key long, used long, n long, slots long"
-    slots = spark.createDataFrame(draws, schema).repartition("mix_id", "shard").withColumn("i", F.explode(F.expr("sequence(0L, n - 1)")))
-    at = F.col("used") + F.col("i")
-    slots = slots.withColumn("round", F.floor(at / F.col("blocks")).cast("int"))
-    slots = slots.withColumn("block_no", permutation(at % F.col("blocks"), F.col("blocks"), F.col("key") + F.col("round")))
-    order = Window.partitionBy("mix_id", "shard").orderBy(F.xxhash64("source", "block_no", "round", F.lit(seed)), "source", "round", "block_no")
-    slots = slots.withColumn("slot", F.row_number().over(order) - 1)
-    weights = corpus.docs.groupBy("source", "block_no").agg(F.sum("n_tokens").alias("n_tokens"))
-    return slots.join(weights, ["source", "block_no"], "left").select("mix_id", "shard", "slot", "source", "round", "block_no", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
+    docs = mixed_documents(corpus, parts).groupBy("mix_id", "source")
+    used = docs.agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("used"), F.max("repeats").alias("most"), F.sum("n_tokens").alias("found"))
+    live = {m: sum(p.target for p in of if p.tokens and p.cap) for m, of in _by_mix(parts).items()}
+    rows = [(p.mix, p.source, p.target, p.tokens, p.cap, p.target / live[p.mix] if p.tokens and p.cap and live[p.mix] else 0.0) for p in parts]
+    named = corpus.docs.sparkSession.createDataFrame(rows, "mix_id int, source string, target_share double, tokens long, cap long, reachable_share double")
+    both = named.join(used, ["mix_id", "source"], "left").fillna(0, ["used", "most", "found"])
+    off = F.abs(F.col("used") - F.col("reachable_share") * F.sum("used").over(Window.partitionBy("mix_id")))
+    return both.select("mix_id", "source", "target_share", (F.col("tokens") > 0).alias("available"), "reachable_share", (off <= 2 * BLOCK).alias("share_met"), (F.col("most") <= F.col("cap")).alias("cap_kept"), (F.col("found") == F.col("tokens")).alias("none_lost"))
 
 
 def sized_documents(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

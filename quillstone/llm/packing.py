@@ -136,3 +136,15 @@ def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: containers, tokens, the share of room left, and how many containers are full or more than half empty."""
     fills = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("fill"))
     return fills.agg(F.count(F.lit(1)).alias("containers"), F.sum("fill").alias("tokens"), (1 - F.sum("fill") / (F.count(F.lit(1)) * capacity)).alias("room_share"), F.count_if(F.col("fill") == capacity).alias("full"), F.count_if(F.col("fill") < capacity / 2).alias("half_empty"), F.max("fill").alias("most"))
+
+
+def packing_check(documents: DataFrame, packed: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """One row: how many documents are packed, whether each token of each is so once (whole), whether all containers hold what they
+    can (fits), whether only longer documents are cut, and whether at most 1 % of the room is left, the last container aside (little_room)."""
+    sizes = documents.select(F.col(key).cast("long").alias("doc_id"), count_tokens(F.col(text), vocabulary).alias("n")).where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("n").alias("longest"))
+    parts = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("found"), F.count(F.lit(1)).alias("parts"), F.max("part_no").alias("last"))
+    per = sizes.join(parts, "doc_id", "full_outer")
+    one = per.agg(F.count("n").alias("documents"), F.bool_and(F.col("n").eqNullSafe(F.col("found"))).alias("whole"), F.bool_and((F.col("last") == 0) | (F.col("longest") > capacity)).alias("cut_only_if_longer"))
+    fills = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("fill")).agg(F.max("fill").alias("most"), F.sum("fill").alias("all"), F.count(F.lit(1)).alias("containers"))
+    room = (F.col("containers") - 1) * capacity <= 1.01 * F.col("all")
+    return one.crossJoin(fills).select("documents", "whole", (F.col("most") <= capacity).alias("fits"), "cut_only_if_longer", room.alias("little_room"))

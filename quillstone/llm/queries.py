@@ -96,14 +96,18 @@ def p6_packed(spark, d):
     return packing.pack_documents(table(spark, d, "documents"))
 
 
-@_query
+# Token counts aren't expressible in SQL; what must hold for them is.
+@_with_sql("select count(*) as documents, true as whole, true as fits, true as cut_only_if_longer, true as little_room from documents where doc_id is not null and text <> ''")
 def p6_report(spark, d):
-    return packing.packing_report(packing.pack_documents(table(spark, d, "documents")))
+    rows = table(spark, d, "documents")
+    packed = packing.pack_documents(rows)
+    return packing.packing_check(rows, packed)
 
 
 def _mix(spark, d):
-    corpus = mixture.lay_out(mixture.sized_documents(table(spark, d, "documents")))
-    return corpus, mixture.plan(corpus, table(spark, d, "mix_targets"))
+    targets = table(spark, d, "mix_targets")
+    corpus = mixture.lay_out(mixture.sized_documents(table(spark, d, "documents")), targets)
+    return corpus, mixture.plan(corpus, targets)
 
 
 @_query
@@ -111,11 +115,30 @@ def p7_mix(spark, d):
     return mixture.mixed_documents(*_mix(spark, d))
 
 
-@_query
+PLAIN = r"regexp_replace(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '[\s_-]+', '-', 'g')"
+
+
+@_with_sql(
+    f"""with t as (select mix_id, {PLAIN.format("source")} as source, sum(target_share) as target, max(max_repeats) as cap from mix_targets group by all),
+held as (select distinct {PLAIN.format("source")} as source from documents where text <> ''),
+live as (select mix_id, sum(target) as total from t join held using (source) group by mix_id)
+select t.mix_id, t.source, t.target as target_share, h.source is not null as available, round(case when h.source is null then 0 else t.target / l.total end, 9) as reachable_share,
+  true as share_met, true as cap_kept, true as none_lost from t left join held h using (source) left join live l using (mix_id)"""
+)
 def p7_shares(spark, d):
+    return mixture.share_check(*_mix(spark, d)).withColumn("reachable_share", F.round("reachable_share", 9))
+
+
+@_query
+def p7_report(spark, d):
     return mixture.share_report(*_mix(spark, d))
 
 
 @_query
 def p7_blocks(spark, d):
     return mixture.mixed_blocks(*_mix(spark, d))
+
+
+@_query
+def p7_filled(spark, d):
+    return mixture.filled_blocks(*_mix(spark, d))
