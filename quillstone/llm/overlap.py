@@ -5,7 +5,7 @@ overlapping GRAM-character pieces the one that is rarest in the corpus (a histog
 decides ties), so template wording that thousands of titles share is hardly ever selected. Of these fingerprints a title
 keeps the rarest ones, one more than the edits that SIMILARITY allows can destroy. Titles with few pieces use the prefix
 filter over their three-character pieces in the same order, which loses nothing. Fingerprints are joined across the
-splits; a pair is a candidate only if the sizes and the 256-bit sketches of its piece sets leave the similarity
+splits; a pair is a candidate only if the sizes and the 128-bit sketches of its piece sets leave the similarity
 possible, a test that never drops a pair that reaches it. Candidates' seeds are chained in order, the chain is extended
 over equal characters, and the exact similarity decides; the chain's coverage is reported.
 
@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.likely import likely
 from quillstone.llm.lookalike import canonical
 from quillstone.llm.spans import Rolling, _slide, mixed
 from quillstone.session import written
@@ -33,12 +32,10 @@ PIECE, GRAM, WINDOW = 3, 6, 3
 #: Titles of up to FEW different pieces use the prefix filter, those of at least MANY fingerprints; pairs within
 #: SIMILARITY of each other always share one of the two.
 MANY, FEW = 22, 29
-#: Cells of the histogram of pieces that is sent to all tasks (a byte each).
-CELLS = 1 << 20
-#: Bits of the filter of fingerprints outside train; its size is the same for any input (4 MB).
-FILTER_BITS = 1 << 25
+#: Cells of the histogram of pieces that is sent to all tasks (a byte each): four for each title, but within these bounds, so at most 16 MB.
+CELLS = 1 << 16, 1 << 24
 #: Bits of the sketch of a title's pieces.
-SKETCH = 256
+SKETCH = 128
 
 
 def plain_split(split: Column) -> Column:
@@ -87,20 +84,28 @@ def _distinct(owner: np.ndarray, place: np.ndarray, h: np.ndarray) -> np.ndarray
     return np.sort(order[new])
 
 
-def _cells(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(44)).astype(np.int64)
+def cell_count(titles: int) -> int:
+    """A power of two."""
+    return max(CELLS[0], min(CELLS[1], 1 << (4 * titles).bit_length()))
 
 
-def _histogram(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CELLS, np.int64)
-    for batch in batches:
-        if batch.num_rows:
-            offsets, rolling = _titles(batch.column(0).to_pylist())
-            for size in (PIECE, GRAM):
-                owner, place, h = _grams(offsets, rolling, size)
-                total += np.bincount(_cells(h[_distinct(owner, place, h)]), minlength=CELLS)
-    used = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["cell", "n"])
+def _cells(h: np.ndarray, cells: int) -> np.ndarray:
+    return (h >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
+
+
+def _histogram(cells: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                offsets, rolling = _titles(batch.column(0).to_pylist())
+                for size in (PIECE, GRAM):
+                    owner, place, h = _grams(offsets, rolling, size)
+                    total += np.bincount(_cells(h[_distinct(owner, place, h)], cells), minlength=cells)
+        used = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["cell", "n"])
+
+    return run
 
 
 def _first_of_each(owner: np.ndarray, key: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -125,7 +130,7 @@ def fingerprints(texts: list[str], rarity: np.ndarray) -> tuple[np.ndarray, ...]
     sketch = np.packbits(sketch, axis=1, bitorder="little").view("<i8")
 
     def order(x: np.ndarray) -> np.ndarray:  # rarest first; never the greatest value
-        return (rarity[_cells(x)].astype(np.uint64) << np.uint64(56)) | (x >> np.uint64(9))
+        return (rarity[_cells(x, len(rarity))].astype(np.uint64) << np.uint64(56)) | (x >> np.uint64(9))
 
     few = size[owner] <= FEW
     prefix = size - np.ceil(SIMILARITY * size - 1e-9).astype(np.int64) + 1
@@ -148,24 +153,17 @@ def fingerprints(texts: list[str], rarity: np.ndarray) -> tuple[np.ndarray, ...]
     return *(np.concatenate(x) for x in zip(*out)), size, sketch
 
 
-SEEDS = "seed long, c long, n int, b0 long, b1 long, b2 long, b3 long, place int"
-
+#: size: number of pieces x 2^32 + position of the fingerprint.
+SEEDS = "seed long, c long, size long, b0 long, b1 long"
 
-def _seeder(rarity, met=None):
-    """Rows of fingerprints; with met, a filter of the other side's, only of those that it may hold."""
 
+def _seeder(rarity):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            owner, place, seed, size, sketch = fingerprints(batch.column(0).to_pylist(), rarity.value)
-            if met is not None:
-                spot = (seed & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                may = (met.value[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) != 0
-                owner, place, seed = owner[may], place[may], seed[may]
-            take = lambda i: batch.column(i).take(pa.array(owner))
-            columns = [pa.array(seed.view(np.int64)), take(1), pa.array(size[owner].astype(np.int32)), *(pa.array(sketch[owner, i]) for i in range(4)), pa.array(place.astype(np.int32))]
-            yield pa.record_batch(columns, names=["seed", "c", "n", "b0", "b1", "b2", "b3", "place"])
+            if batch.num_rows:
+                owner, place, seed, size, sketch = fingerprints(batch.column(0).to_pylist(), rarity.value)
+                columns = [pa.array(seed.view(np.int64)), batch.column(1).take(pa.array(owner)), pa.array((size[owner] << 32) | place), *(pa.array(sketch[owner, i]) for i in range(2))]
+                yield pa.record_batch(columns, names=["seed", "c", "size", "b0", "b1"])
 
     return run
 
@@ -218,30 +216,22 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar_titles(classes: DataFrame) -> DataFrame:
     """(a, b, similarity, coverage): different titles a (in train) and b (in another split) that are nearly the same.
 
-    classes: distinct non-empty titles t, with flags train and other for where they occur.
+    classes: distinct non-empty titles t with their hash c, and flags train and other for where they occur.
     """
-    classes = classes.select("t", F.xxhash64("t").alias("c"), "train", "other")
-    rarity = np.zeros(CELLS, np.uint8)
-    for batch in classes.select("t").mapInArrow(_histogram, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
-        rarity[batch.column(0).to_numpy(zero_copy_only=False)] = np.minimum(255, 1 + 8 * np.log2(batch.column(1).to_numpy(zero_copy_only=False))).astype(np.uint8)
-    rarity = np.minimum(rarity, 254)
-    context = classes.sparkSession.sparkContext
-    rarity = context.broadcast(rarity)
-    b = classes.where("other").select("t", "c").mapInArrow(_seeder(rarity), SEEDS)
-    spot = F.col("seed").bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = b.select(F.shiftright(spot, 6).alias("w"), F.expr("shiftleft(1L, cast(seed & 63 as int))").alias("x")).groupBy("w").agg(F.bit_or("x").alias("x"))
-    met = np.zeros(FILTER_BITS >> 6, np.uint64)
-    for batch in words.toArrow().to_batches():
-        met[batch.column(0).to_numpy(zero_copy_only=False)] = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-    a = classes.where("train").select("t", "c").mapInArrow(_seeder(rarity, context.broadcast(met)), SEEDS).alias("a")
-    b = b.alias("b")
-    apart = sum((F.bit_count(F.col(f"a.b{i}").bitwiseXOR(F.col(f"b.b{i}"))) for i in range(4)), F.lit(0))
-    total = F.col("a.n") + F.col("b.n")
-    possible = (F.col("a.seed") == F.col("b.seed")) & (F.col("a.c") != F.col("b.c")) & (F.least("a.n", "b.n") >= SIMILARITY * F.greatest("a.n", "b.n") - 1e-9) & (apart <= (1 - SIMILARITY) / (1 + SIMILARITY) * total + 1e-9)
-    hits = a.join(b, possible).select(F.col("a.c").alias("ca"), F.col("b.c").alias("cb"), F.struct(F.col("a.place").alias("x"), F.col("b.place").alias("y")).alias("s"))
+    cells = cell_count(classes.count())
+    rarity = np.zeros(cells, np.uint8)
+    for batch in classes.select("t").mapInArrow(_histogram(cells), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        rarity[batch.column(0).to_numpy(zero_copy_only=False)] = np.minimum(254, 1 + 8 * np.log2(batch.column(1).to_numpy(zero_copy_only=False))).astype(np.uint8)
+    rarity = classes.sparkSession.sparkContext.broadcast(rarity)
+    seeds = lambda side: classes.where(side).select("t", "c").mapInArrow(_seeder(rarity), SEEDS).alias(side[0])
+    apart = sum((F.bit_count(F.col(f"t.b{i}").bitwiseXOR(F.col(f"o.b{i}"))) for i in range(2)), F.lit(0))
+    n = {s: F.shiftright(f"{s}.size", 32) for s in "to"}
+    possible = (F.col("t.seed") == F.col("o.seed")) & (F.col("t.c") != F.col("o.c")) & (F.least(*n.values()) >= SIMILARITY * F.greatest(*n.values()) - 1e-9) & (apart <= (1 - SIMILARITY) / (1 + SIMILARITY) * (n["t"] + n["o"]) + 1e-9)
+    place = {s: F.col(f"{s}.size").bitwiseAND(F.lit((1 << 32) - 1)) for s in "to"}
+    hits = seeds("train").join(seeds("other"), possible).select(F.col("t.c").alias("ca"), F.col("o.c").alias("cb"), F.struct(place["t"].alias("x"), place["o"].alias("y")).alias("s"))
     candidates = written(hits.groupBy("ca", "cb").agg(F.collect_list("s").alias("seeds")))
-    text = lambda c, t: likely(classes, F.col("c"), candidates, F.col(c)).select(F.col("c").alias(c), F.col("t").alias(t))
-    named = candidates.join(text("ca", "a"), "ca").join(text("cb", "b"), "cb").select("a", "b", "seeds")
+    text = lambda side, c, t: classes.where(side).select(F.col("c").alias(c), F.col("t").alias(t))
+    named = candidates.join(text("train", "ca", "a"), "ca").join(text("other", "cb", "b"), "cb").select("a", "b", "seeds")
     return named.mapInArrow(_verify, "a string, b string, similarity double, coverage double")
 
 
@@ -263,16 +253,17 @@ def cross_split_pairs(products: DataFrame, placeholders: DataFrame) -> DataFrame
 
 
 def _pairs(rows: DataFrame, placeholders: DataFrame) -> DataFrame:
-    train, other = rows.where("split = 'train'"), rows.where("split <> 'train'")
     shown = rows.join(F.broadcast(placeholders.select(plain_hash(F.col("image_sha256")).alias("image")).distinct()), "image", "left_anti").where("image is not null")
     images = shown.where("split = 'train'").select("image", F.col("id").alias("train_id")).join(shown.where("split <> 'train'").select("image", F.col("id").alias("other_id")), "image")
     images = images.select("train_id", "other_id", F.lit(True).alias("same_image"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("double").alias("coverage"))
     classes = rows.where("t is not null").groupBy("t").agg(F.bool_or(F.col("split") == "train").alias("train"), F.bool_or(F.col("split") != "train").alias("other"))
-    classes = written(classes)
+    classes = written(classes.withColumn("c", F.xxhash64("t")))
     same = classes.where("train and other").select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(1.0).alias("similarity"), F.lit(1.0).alias("coverage"))
     pairs = written(similar_titles(classes).unionByName(same))
-    train, other = likely(train, F.col("t"), pairs, F.col("a")), likely(other, F.col("t"), pairs, F.col("b"))
-    titles = pairs.join(train.select(F.col("t").alias("a"), F.col("id").alias("train_id")), "a").join(other.select(F.col("t").alias("b"), F.col("id").alias("other_id")), "b")
+    # Ids are joined by two hashes of their titles, as those are much shorter; together they have 128 bits.
+    hashed = lambda t: F.array(F.xxhash64(t), F.xxhash64(F.lit(1), t))
+    side = lambda which, t, name: rows.where(which).where("t is not null").select(hashed("t").alias(t), F.col("id").alias(name))
+    titles = pairs.select(hashed("a").alias("a"), hashed("b").alias("b"), "similarity", "coverage").join(side("split = 'train'", "a", "train_id"), "a").join(side("split <> 'train'", "b", "other_id"), "b")
     titles = titles.select("train_id", "other_id", F.lit(False).alias("same_image"), "similarity", "coverage")
     both = images.unionByName(titles).where("train_id <> other_id").groupBy("train_id", "other_id")
     return both.agg(F.bool_or("same_image").alias("same_image"), F.max("similarity").alias("similarity"), F.max("coverage").alias("coverage"))
