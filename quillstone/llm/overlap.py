@@ -21,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quillstone.llm.lookalike import canonical
+from quillstone.llm.lookalike import canonical, per_text, shapes
 from quillstone.llm.spans import Rolling, _slide, mixed
 from quillstone.session import written
 
@@ -50,9 +49,9 @@ def plain_hash(image: Column) -> Column:
     return F.when(plain != "", plain)
 
 
-def plain_title(text: str | None) -> str | None:
+def plain_title(text: str | None, form=canonical) -> str | None:
     """Look-alike form, lower case, letters and digits only; null if nothing is left."""
-    return "".join(filter(str.isalnum, canonical(text).lower())) or None if text else None
+    return "".join(filter(str.isalnum, form(text).lower())) or None if text else None
 
 
 def pieces(text: str) -> set[str]:
@@ -237,7 +236,8 @@ def similar_titles(classes: DataFrame) -> DataFrame:
 
 def prepared(products: DataFrame) -> DataFrame:
     """(id, split, source, image, t): plain forms of the products that belong to a split; written once."""
-    title = F.arrow_udf(lambda texts: pa.array(map(plain_title, texts.to_pylist()), pa.string()), T.StringType())
+    form = shapes(products.sparkSession).canonical
+    title = lambda text: per_text(lambda x: plain_title(x, form), text)
     named = products.select("id", plain_split(F.col("split")).alias("split"), F.lower(F.regexp_replace("source", r"^\s+|\s+$", "")).alias("source"), plain_hash(F.col("image_sha256")).alias("image"), title(F.col("title")).alias("t"))
     return written(named.where("id is not null and split is not null"))
 

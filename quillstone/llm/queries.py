@@ -28,7 +28,26 @@ def _looked_at(spark, d):
     return queries.unionAll(table(spark, d, "products").select(F.lit("title"), "id", "title"))
 
 
-@_query
+def _form_sql(text: str) -> str:
+    """The look-alike form in SQL, as far as these tables need it: one class of Kana and Han of a shape, no tokens of other scripts."""
+    fold = {chr(c): x for c, x in lookalike.FOLD.items() if len(x) == 1}
+    fold |= {x: row[0] for row in lookalike.SHAPES if row[0] != "." for x in row[1:] if x != "."}
+    fold = {x: fold.get(y, y) for x, y in fold.items() if x != "'"}
+    quote = lambda x: x.replace("'", "''")
+    plain = rf"""regexp_replace({text}, '[\x{{AD}}\x{{34F}}\x{{61C}}\x{{180B}}-\x{{180E}}\x{{200B}}-\x{{200F}}\x{{202A}}-\x{{202E}}\x{{2060}}-\x{{206F}}\x{{FE00}}-\x{{FE0F}}\x{{FEFF}}]', '', 'g')"""
+    longer = {chr(c): x for c, x in lookalike.FOLD.items() if chr(c) in "ﬀﬁﬂﬃﬄ"}
+    for x, y in longer.items():
+        plain = f"replace({plain}, '{x}', '{y}')"
+    plain = f"translate({plain}, '{quote(''.join(fold))}', '{quote(''.join(fold.values()))}')"
+    kana = lookalike.KANA_HAN.split() + lookalike.KANA_KANA.split()  # after marks are composed with them
+    return rf"trim(regexp_replace(translate(nfc_normalize({plain}), '{''.join(x[0] for x in kana)}', '{''.join(x[1] for x in kana)}'), '[\s\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))"
+
+
+@_with_sql(
+    f"""with t as (select 'query' as field_name, id, query as t from planner_test union all select 'title', id, title from products),
+f as (select field_name, id, t, {_form_sql('t')} as form from t where id is not null and t is not null)
+select distinct a.field_name, a.id as id_a, b.id as id_b from f a join f b on a.field_name = b.field_name and a.form = b.form and a.id < b.id and a.t <> b.t"""
+)
 def p5_found(spark, d):
     pairs = lookalike.lookalike_pairs(_looked_at(spark, d), F.col("id"), F.col("text"), F.col("field_name"))
     return pairs.withColumnRenamed("group", "field_name")
@@ -36,8 +55,14 @@ def p5_found(spark, d):
 
 @_query
 def p5_forms(spark, d):
-    rows = _looked_at(spark, d)
-    return rows.select("field_name", "id", lookalike.canonical_text(F.col("text")).alias("form"), lookalike.script_finding(F.col("text")).alias("script_finding"))
+    forms = lookalike.lookalike_forms(_looked_at(spark, d).withColumn("key", F.struct("field_name", "id")), "key", "text")
+    return forms.select("key.field_name", "key.id", "form", "script_finding")
+
+
+@_query
+def p5_classes(spark, d):
+    found = lookalike.lookalike_classes(_looked_at(spark, d), F.col("id"), F.col("text"), F.col("field_name"))
+    return found.withColumnRenamed("group", "field_name")
 
 
 @_with_sql(
@@ -80,7 +105,18 @@ def p3_segments(spark, d):
     return _segments(spark, d)
 
 
-@_query
+_P2 = rf"""form as (select id, case when lower(trim(split)) in ('val', 'valid', 'dev', 'validation') then 'validation' else lower(trim(split)) end as split,
+  regexp_replace(lower(trim(image_sha256)), '^sha256:\s*', '') as image, regexp_replace(lower({_form_sql('title')}), '[^\p{{L}}\p{{N}}]', '', 'g') as t from products where id is not null),
+rows as (select id, split = 'train' as train, case when image <> '' and image not in (select regexp_replace(lower(trim(image_sha256)), '^sha256:\s*', '') from placeholder_images where image_sha256 is not null) then image end as image,
+  list_distinct(case when length(t) >= 3 then [t[i:i + 2] for i in range(1, length(t) - 1)] when t <> '' then [t] end) as pieces from form where split in ('train', 'validation', 'test'))"""
+
+
+@_with_sql(
+    f"""with {_P2}, common as (select a.id as a, b.id as b, count(*) as n from (select id, unnest(pieces) as p from rows where train) a join (select id, unnest(pieces) as p from rows where not train) b using (p) group by all),
+pairs as (select a.id as a, b.id as b from rows a join rows b on a.train and not b.train and a.image = b.image
+  union select a, b from common join rows x on x.id = a join rows y on y.id = b where n >= 0.78 * (len(x.pieces) + len(y.pieces) - n) - 1e-12)
+select distinct least(a, b) as id_a, greatest(a, b) as id_b from pairs where a <> b"""
+)
 def p2_found(spark, d):
     pairs = overlap.cross_split_pairs(table(spark, d, "products"), table(spark, d, "placeholder_images"))
     return pairs.select(F.least("train_id", "other_id").alias("id_a"), F.greatest("train_id", "other_id").alias("id_b")).distinct()

@@ -44,6 +44,39 @@ def test_tokens_are_spelled_in_one_script():
     assert lookalike.findings("ＡＢ plain") is None and lookalike.findings("VЈК") == "mixed"
 
 
+def test_shapes_of_other_scripts(spark):
+    all_scripts = lookalike.shapes(spark)
+    letters = dict(all_scripts.others)
+    assert len({lookalike._script(x) for x in letters}) > 20 and letters["Ꭺ"] == "A" and letters["օ"] == "o" and letters["ꓲ"] == "l"
+    for letter, latin in letters.items():
+        # Alone, a letter is a whole-script confusable; beside one that only Latin has, it makes a mixed token.
+        assert all_scripts.resolve(letter) == (latin, "whole")
+        assert all_scripts.canonical(f"{letter}éñ") == f"{latin}éñ" == all_scripts.canonical(f"{latin}éñ")
+        assert all_scripts.findings(f"{letter}kñ") == "mixed"
+    scripts = {}
+    for letter, latin in letters.items():
+        scripts.setdefault(lookalike._script(letter), {}).setdefault(latin, letter)
+    for a in scripts.values():  # every pair of scripts that share a shape
+        for b in scripts.values():
+            for latin in a.keys() & b.keys():
+                assert all_scripts.canonical(a[latin] + "x") == all_scripts.canonical(b[latin] + "x")
+    assert all_scripts.canonical("ᏣᎳᎩ") == "ᏣᎳᎩ" and all_scripts.resolve("ᏣᎳᎩ")[1] == "single"  # a word of its own script
+    assert all_scripts.canonical("Привет") == "Привет"
+    import pickle
+
+    assert pickle.loads(pickle.dumps(all_scripts)) is all_scripts
+
+
+def test_large_classes_are_paired_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "PAIRED", 7)
+    data = [(f"{i:03}", "ab" if i % 3 else "a\u200bb") for i in range(60)] + [("900", "other")]
+    table = spark.createDataFrame(data, "id string, t string")
+    got = {(r[1], r[2]) for r in lookalike.lookalike_pairs(table, F.col("id"), F.col("t"), F.lit("q")).collect()}
+    assert got == {(a, b) for a, x in data for b, y in data if a < b and x != y and "other" not in (x, y)}
+    classes = lookalike.lookalike_classes(table, F.col("id"), F.col("t"), F.lit("q")).collect()
+    assert [(r["form"], r["spellings"], r["rows"]) for r in classes] == [("ab", 2, 60)]
+
+
 @settings(deadline=None, max_examples=200)
 @given(st.text())
 def test_forms_are_stable(text):
