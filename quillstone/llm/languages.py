@@ -6,7 +6,8 @@ each n-gram of the sample first votes for the labels that it occurs under, by sh
 for another label aren't trained on. All models share sorted arrays of n-gram hashes, one for each order, with a column for each language.
 A text is cut into sentences, names, codes and figures aside; a sentence gets the language of the lowest cross-entropy
 per character, and none if that is hardly lower than for another language, or is higher than the model's own held-out sentences reach
-and not far lower than for all others (calibrated rejection).
+and not far lower than for all others (calibrated rejection). Its confidence is the softmax of the cross-entropies at the
+temperature that fits held-out stretches of different lengths best, so that a share of about c of the answers with confidence c is right.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +33,12 @@ ORDER = 4
 ALPHABET = 30_000
 #: Of held-out sentences of the right language, how many may be rejected; and slack beyond that.
 REJECTED, SLACK = 0.0005, 1.15
+#: The code of texts without a language (ISO 639: undetermined).
+UNKNOWN = "und"
 #: Below UNSURE (names alone, say) a sentence has no language; above the limit of its model, it needs a confidence of SURE.
 UNSURE, SURE = 0.6, 0.99
+#: Lengths of the held-out stretches that confidence is calibrated on.
+STRETCHES = (3, 5, 8, 12, 20, 40)
 START = "\x02" * (ORDER - 1)
 
 CODES = re.compile(r"(?<![A-Za-zÀ-ɏ\-_.])[A-Za-zÀ-ɏ\-_.]*+\d[A-Za-zÀ-ɏ\d]*+(?:[\-_.,:/]?[A-Za-zÀ-ɏ]*+\d[A-Za-zÀ-ɏ\d]*+)*+|\d+")
@@ -64,41 +70,41 @@ def _kept_stops(text: str) -> str:
     return canonical(text)
 
 
-def keyed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(offsets, position of each character, hashes of the n-grams that end there, for n = 0 to ORDER)."""
+def keyed(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(offsets, for n = 0 to ORDER: hashes of the n-grams that end at each character, and of their first n - 1 characters)."""
     joined = START + START.join(texts) if texts else ""
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     offsets = np.append(0, np.cumsum(lengths))
     at = np.arange(offsets[-1]) + np.repeat((np.arange(len(texts)) + 1) * len(START), lengths)
     h = mixed(points)
-    keys = [np.zeros(len(at), np.uint64), h[at]]
-    total = h[at].copy()
+    total, hashes = h.copy(), [np.zeros(len(h), np.uint64), mixed(h)]
     for n in range(2, ORDER + 1):
-        total = total + h[at - n + 1] * np.uint64(pow(0x9E3779B97F4A7C15, n - 1, 1 << 64))
-        keys.append(mixed(total))
-    return offsets, at, keys
+        total[n - 1 :] += h[: len(h) - n + 1] * np.uint64(pow(0x9E3779B97F4A7C15, n - 1, 1 << 64))
+        hashes.append(mixed(total))
+    return offsets, [x[at] for x in hashes], [np.zeros(0, np.uint64), *(x[at - 1] for x in hashes[:-1])]
 
 
 @dataclass
 class Models:
     """grams[n]: sorted n-gram hashes; found[n]: their log-probabilities by language (NaN: unseen there); contexts and
-    backoff likewise, for the n - 1 characters before; unseen: log-probability of a new character; limit: of rejection."""
+    backoff likewise, for the n - 1 characters before; limit: of rejection; sharpness: of the reported confidence."""
 
     grams: list[np.ndarray]
     found: list[np.ndarray]
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
     limit: np.ndarray
+    sharpness: float = 1.0
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Cross-entropy per character, for each text (none empty) and language."""
         if not texts:
             return np.zeros((0, len(LANGUAGES)), np.float32)
-        offsets, at, keys = keyed(texts)
-        _, first, back = np.unique(keys[ORDER], return_index=True, return_inverse=True)
-        # The context of an n-gram is the (n-1)-gram before its last character; hashes of it come from the position before.
-        before = _contexts(texts, at)
+        offsets, keys, before = keyed(texts)
+        back, grams = pd.factorize(keys[ORDER])  # each n-gram is looked up once
+        first = np.empty(len(grams), np.int64)
+        first[back[::-1]] = np.arange(len(back))[::-1]
         log = np.full((len(first), len(LANGUAGES)), -np.log(ALPHABET), np.float32)
         for n in range(1, ORDER + 1):
             weight, known = _look_up(self.contexts[n], self.backoff[n], before[n][first])
@@ -112,21 +118,15 @@ class Models:
         entropy = self.score(texts)
         best = entropy.argmin(axis=1) if len(texts) else np.zeros(0, np.int64)
         lowest = entropy[np.arange(len(best)), best]
-        # Characters of a text depend on each other; their number counts by its root.
-        lead = np.exp(-(entropy - lowest[:, None]) * np.sqrt(np.fromiter(map(len, texts), np.float64, len(texts)))[:, None])
-        confidence = 1 / lead.sum(axis=1)
-        said = (confidence >= UNSURE) & ((lowest <= self.limit[best]) | (confidence >= SURE))
-        return np.where(said, best, -1), confidence
+        lead = _lead(entropy, texts)
+        sure = 1 / np.exp(-lead).sum(axis=1)
+        said = (sure >= UNSURE) & ((lowest <= self.limit[best]) | (sure >= SURE))
+        return np.where(said, best, -1), 1 / np.exp(-self.sharpness * lead).sum(axis=1)
 
 
-def _contexts(texts: list[str], at: np.ndarray) -> list[np.ndarray]:
-    joined = START + START.join(texts)
-    h = mixed(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4"))
-    out, total = [np.zeros(0, np.uint64), np.zeros(len(at), np.uint64)], np.zeros(len(at), np.uint64)
-    for n in range(2, ORDER + 1):
-        total = total + h[at - n + 1] * np.uint64(pow(0x9E3779B97F4A7C15, n - 2, 1 << 64))
-        out.append(mixed(total))
-    return out
+def _lead(entropy: np.ndarray, texts: list[str]) -> np.ndarray:
+    """How far each language is behind the best one. Characters of a text depend on each other; their number counts by its root."""
+    return (entropy - entropy.min(axis=1, keepdims=True)) * np.sqrt(np.fromiter(map(len, texts), np.float64, len(texts)))[:, None]
 
 
 def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,10 +137,9 @@ def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[
 
 def _kneser_ney(texts: list[str]) -> list[tuple[np.ndarray, ...]]:
     """For each order: n-gram hashes, log-probabilities, context hashes, log backoff weights."""
-    _, at, keys = keyed(texts)
-    before = _contexts(texts, at)
+    _, keys, before = keyed(texts)
     out: list[tuple[np.ndarray, ...]] = [()]
-    lower = np.full(len(at), 1 / ALPHABET)
+    lower = np.full(len(keys[0]), 1 / ALPHABET)
     for n in range(1, ORDER + 1):
         if n == ORDER:
             gram, first, count = np.unique(keys[n], return_index=True, return_counts=True)
@@ -183,7 +182,7 @@ def _votes(texts: list[str], label: np.ndarray) -> np.ndarray:
     """The label that most n-grams of each text stand for; an n-gram divides its vote by how often each label has it."""
     if not texts:
         return label
-    offsets, _, keys = keyed(texts)
+    offsets, keys, _ = keyed(texts)
     _, gram = np.unique(keys[ORDER], return_inverse=True)
     counts = np.bincount(gram * len(LANGUAGES) + np.repeat(label, np.diff(offsets)), minlength=(gram.max() + 1) * len(LANGUAGES)).reshape(-1, len(LANGUAGES))
     share = counts / counts.sum(axis=1, keepdims=True)
@@ -204,9 +203,26 @@ def train(labelled: list[tuple[str, str]]) -> Models:
     for i, p in enumerate(clean):
         if len(p) >= 20:
             models.limit[i] = np.quantile(judge.score(p[::10])[:, i], 1 - REJECTED) * SLACK
+    held = [(i, s[:n]) for i, p in enumerate(clean) for s in p[::10] for n in STRETCHES if len(s) >= n]
+    if held:
+        models.sharpness = fit_sharpness(judge, np.array([i for i, _ in held]), [x for _, x in held])
     return models
 
 
+def fit_sharpness(models: Models, label: np.ndarray, texts: list[str]) -> float:
+    """The factor on the lead that makes the labels likeliest."""
+    lead = _lead(models.score(texts), texts)
+    tried = 2.0 ** np.arange(-3, 4.01, 0.25)
+    lost = [np.mean(t * lead[np.arange(len(label)), label] + np.log(np.exp(-t * lead).sum(axis=1))) for t in tried]
+    return float(tried[int(np.argmin(lost))])
+
+
+def reliability(confidence: np.ndarray, right: np.ndarray, bins: int = 10) -> float:
+    """The expected calibration error: how far mean confidence and share of right answers are apart, over bins of equal width."""
+    of = np.minimum((confidence * bins).astype(int), bins - 1)
+    return float(sum(abs(confidence[of == b].mean() - right[of == b].mean()) * (of == b).mean() for b in np.unique(of)))
+
+
 def plain_label(label: Column) -> Column:
     """The label's language in lower case, without region or script; null if it names none of LANGUAGES."""
     code = F.lower(F.regexp_extract(label, r"^\s*([A-Za-z]+)(?:[-_][A-Za-z0-9]+)*\s*$", 1))
@@ -226,19 +242,25 @@ def sample_labelled(rows: DataFrame, labels: DataFrame, fields: list[str]) -> li
     return [(r["__label"], t) for r in found.collect() for t in r["texts"] if t]
 
 
+def _sentences_of(batch: pa.RecordBatch, fields: int) -> tuple[np.ndarray, list[str]]:
+    """(owner, sentence): the sentences of all fields; the owner is field x rows + row."""
+    owner, texts = [], []
+    for f in range(fields):
+        for i, text in enumerate(batch.column(1 + f).to_pylist()):
+            found = sentences(text)
+            owner += [f * batch.num_rows + i] * len(found)
+            texts += found
+    return np.array(owner, np.int64), texts
+
+
 def _segmenter(models, fields: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            owner, texts = [], []
-            for f in range(len(fields)):
-                for i, text in enumerate(batch.column(1 + f).to_pylist()):
-                    found = sentences(text)
-                    owner += [f * len(ids) + i] * len(found)
-                    texts += found
+            owner, texts = _sentences_of(batch, len(fields))
             language, confidence = models.value.choose(texts)
             said = language >= 0
-            own, language, confidence = np.array(owner, np.int64)[said], language[said], confidence[said]
+            own, language, confidence = owner[said], language[said], confidence[said]
             size = np.fromiter(map(len, texts), np.int64, len(texts))[said]
             if not len(own):
                 continue
@@ -276,6 +298,51 @@ def segments(rows: DataFrame, labels: DataFrame, fields: list[str]) -> DataFrame
     return rows.where("id is not null").select("id", *fields).mapInArrow(_segmenter(models, fields), "product_id string, field_name string, segment_no int, lang string, confidence double, n_chars int, n_segments int")
 
 
+def _judge(models, fields: list[str]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(fields) * batch.num_rows
+            if not n:
+                continue
+            owner, texts = _sentences_of(batch, len(fields))
+            language, confidence = models.value.choose(texts)
+            size = np.fromiter(map(len, texts), np.int64, len(texts))
+            weight, trust = np.zeros((n, len(LANGUAGES) + 1), np.int64), np.zeros((n, len(LANGUAGES) + 1))
+            np.add.at(weight, (owner, language), size)  # -1, no language, is the last column
+            np.add.at(trust, (owner, language), size * confidence)
+            best = weight[:, :-1].argmax(axis=1)
+            most, total = weight[np.arange(n), best], weight.sum(axis=1)
+            said = most > 0
+            part = np.divide(most, total, out=np.zeros(n), where=said)
+            sure = np.divide(trust[np.arange(n), best], most, out=np.zeros(n), where=said)
+            yield pa.record_batch(
+                [
+                    pa.array(batch.column(0).to_pylist() * len(fields), pa.string()),
+                    pa.array(np.repeat(fields, batch.num_rows)),
+                    pa.array([LANGUAGES[b] if y else UNKNOWN for b, y in zip(best, said)]),
+                    pa.array(sure),
+                    pa.array(part),
+                    pa.array((weight[:, :-1] > 0).sum(axis=1).astype(np.int32)),
+                    pa.array(total),
+                    pa.array(weight[:, -1]),
+                ],
+                names=["product_id", "field_name", "lang", "confidence", "share", "n_langs", "n_chars", "unknown_chars"],
+            )
+
+    return run
+
+
+def document_languages(rows: DataFrame, labels: DataFrame, fields: list[str]) -> DataFrame:
+    """(product_id, field_name, lang, confidence, share, n_langs, n_chars, unknown_chars): one row for each field of each row.
+
+    lang is that of most characters, UNKNOWN with confidence 0 if the text is null, has no words, or all its sentences are
+    rejected; share is its part of the characters of all sentences, of which unknown_chars lie in rejected ones.
+    """
+    models = rows.sparkSession.sparkContext.broadcast(train(sample_labelled(rows, labels, fields)))
+    schema = "product_id string, field_name string, lang string, confidence double, share double, n_langs int, n_chars long, unknown_chars long"
+    return rows.select("id", *fields).mapInArrow(_judge(models, fields), schema)
+
+
 def mislabelled(found: DataFrame, labels: DataFrame) -> DataFrame:
     """Segments of the fields that are anything other than one segment in the labelled language."""
     named = labels.where("product_id is not null").select("product_id", plain_label(F.col("lang_label")).alias("label")).where("label is not null").dropDuplicates(["product_id"])

@@ -100,6 +100,11 @@ def p3_found(spark, d):
     return languages.mislabelled(_segments(spark, d), table(spark, d, "product_langs")).select("product_id", "field_name", "segment_no", "lang")
 
 
+@_query
+def p3_languages(spark, d):
+    return languages.document_languages(table(spark, d, "products"), table(spark, d, "product_langs"), ["title", "description"])
+
+
 @_query
 def p3_segments(spark, d):
     return _segments(spark, d)

@@ -128,6 +128,27 @@ def corpus(spark):
     return spark.createDataFrame(products, "id string, text string").withColumn("__id", F.lit(1)), spark.createDataFrame(labels[:-1], "product_id string, lang_label string")
 
 
+def test_language_of_each_document(spark):
+    products, labels = corpus(spark)
+    found = {r["product_id"]: r for r in languages.document_languages(products, labels, ["text"]).collect()}
+    assert len(found) == products.select("id").distinct().count()
+    assert sum(found[f"p{i}"]["lang"] == languages.LANGUAGES[i % 7] for i in range(420)) >= 415
+    for name in ("figures", "empty", "null"):
+        assert found[name]["lang"] == languages.UNKNOWN and found[name]["confidence"] == 0 == found[name]["share"]
+    assert found["mixed"]["n_langs"] == 3 and 0 < found["mixed"]["share"] < 1 and found["p0"]["share"] == 1.0
+    assert languages.document_languages(products.limit(0), labels, ["text"]).count() == 0
+
+
+def test_confidence_is_calibrated():
+    rng = random.Random(3)
+    made = [(lang, sentence(rng, lang)) for lang in languages.LANGUAGES for _ in range(300)]
+    models = languages.train([x for i, x in enumerate(made) if i % 3])
+    held = [(languages.LANGUAGES.index(lang), part) for lang, text in made[::3] for s in languages.sentences(text) for part in (s[1:4], s[5:10], s[2:14])]
+    _, confidence = models.choose([t for _, t in held])
+    right = models.score([t for _, t in held]).argmin(axis=1) == [i for i, _ in held]
+    assert right.mean() < 1 and languages.reliability(confidence, right) < 0.06
+
+
 def test_language_segments(spark, rows):
     products, labels = corpus(spark)
     found = languages.segments(products, labels, ["text"]).cache()
