@@ -24,7 +24,8 @@ def norm(a: Column) -> Column:
 
 def l2_normalise(a: Column) -> Column:
     """The vector divided by its length; a zero vector stays as it is."""
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(EPSILON)))
+    # The length is an element of its own, as an expression inside the inner function is evaluated for each element.
+    return F.transform(F.array(F.greatest(norm(a), F.lit(EPSILON))), lambda n: F.transform(a, lambda x: x.cast("double") / n))[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

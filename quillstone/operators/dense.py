@@ -1,4 +1,4 @@
-"""Vector retrieval: exact search in blocks, inverted files, product quantisation, random-projection hashing.
+"""Vector retrieval: exact search in blocks, exact reranking, and random-projection hashing; ann.py has indexes to keep.
 
 Vectors are packed into blocks of a few thousand rows, one binary value each, so that scores are matrix products and a
 task's memory doesn't depend on the table's size.
@@ -12,19 +12,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.operators.ranking import top_k
 from quillstone.session import spread
 
 BLOCK = 4096
-#: Rows that centroids and codebooks are fitted on, about.
-SAMPLE = 20_000
-#: Queries that are compared with all vectors to find how many inverted lists to probe.
-ASKED = 256
-PROBES = 36
+#: Bytes of packed queries that are sent to all tasks at once, at most.
+SENT = 64 << 20
+#: Rows, about, that meet a query in one bucket of random projections.
+BUCKET = 256
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array) -> np.ndarray:
+    """The rows of a column of lists of one length."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float64)
 
@@ -34,188 +35,131 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _packer(size: int):
+def clean(vectors: DataFrame) -> DataFrame:
+    """(id, v) without null ids and null or empty vectors."""
+    return vectors.toDF("id", "v").where("id is not null and v is not null and size(v) > 0").withColumn("id", F.col("id").cast("long"))
+
+
+def _packer(size: int, kind: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            for d, i in ((d, i) for d in np.unique(lengths) for i in range(0, int((lengths == d).sum()), size)):
-                part = batch.take(pa.array(np.flatnonzero(lengths == d)[i : i + size]))
-                x = _matrix(part.column(1))
-                yield pa.record_batch([pa.array([part.column(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()]), pa.array([x.tobytes()]), pa.array([x.shape[1]], pa.int32())], names=["ids", "x", "d"])
+            for d in np.unique(lengths):
+                of = np.flatnonzero(lengths == d)
+                for i in range(0, len(of), size):
+                    part = batch.take(pa.array(of[i : i + size]))
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind)
+                    ids, groups = (part.column(c).to_numpy(zero_copy_only=False).astype("<i8").tobytes() for c in (0, 2))
+                    yield pa.record_batch([pa.array([ids]), pa.array([x.tobytes()]), pa.array([int(d)], pa.int32()), pa.array([groups])], names=["ids", "x", "d", "groups"])
 
     return run
 
 
+def kind_of(vectors: DataFrame) -> str:
+    """How packed elements are stored: as they are in the table."""
+    element = vectors.schema[1].dataType.elementType
+    return "<f4" if isinstance(element, T.FloatType) else "<f8"
+
+
 def packed(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Blocks (ids, x, d) of rows (id long, vector) with vectors of one length d; null and empty vectors are left out."""
-    rows = spread(vectors.toDF("id", "v")).where("id is not null and v is not null and size(v) > 0")
-    return rows.select(F.col("id").cast("long"), F.col("v").cast("array<double>")).mapInArrow(_packer(size), "ids binary, x binary, d int")
+    """Blocks (ids, x, d, groups) of rows (id long, vector[, group]) with vectors of one length d; null and empty vectors are left out."""
+    kind = kind_of(vectors)
+    group = F.xxhash64(vectors.columns[2]) if len(vectors.columns) > 2 else F.lit(0).cast("long")
+    rows = spread(vectors).select(F.col(vectors.columns[0]).cast("long").alias("id"), F.col(vectors.columns[1]).alias("v"), group.alias("g")).where("id is not null and v is not null and size(v) > 0")
+    if kind == "<f8":
+        rows = rows.withColumn("v", F.col("v").cast("array<double>"))
+    return rows.mapInArrow(_packer(size, kind), "ids binary, x binary, d int, groups binary")
 
 
 def best(s: np.ndarray, qids: np.ndarray, rids: np.ndarray, k: int, decimals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, rounded score) of each row's k best scores, its own id left out; ties after rounding go to the lower id."""
-    s[qids[:, None] == rids[None, :]] = -np.inf
+    own = np.argsort(rids, kind="stable")
+    at = own[np.minimum(np.searchsorted(rids, qids, sorter=own), len(rids) - 1)]
+    same = np.flatnonzero(rids[at] == qids)
+    s[same, at[same]] = -np.inf
     n = s.shape[1]
     floor = np.partition(s, n - k, axis=1)[:, n - k] - 10.0**-decimals if n > k else np.full(len(s), -np.inf)
     row, at = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
     score = np.round(s[row, at], decimals)
-    order = np.lexsort((rids[at], -score, row))
-    row, at, score = row[order], at[order], score[order]
-    start = np.flatnonzero(np.append(True, np.diff(row) != 0)) if len(row) else np.zeros(0, np.int64)
-    keep = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row)))) < k
+    keep = first_k(row, rids[at], score, k)
     return row[keep], at[keep], score[keep]
 
 
-def _scorer(k: int, metric: str, decimals: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for qi, qx, ri, rx, d, rd in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if d != rd:
-                    continue
-                q, r = (np.frombuffer(b).reshape(-1, d) for b in (qx, rx))
-                qids, rids = np.frombuffer(qi, "<i8"), np.frombuffer(ri, "<i8")
-                s = q @ r.T if metric == "ip" else -((q**2).sum(1)[:, None] - 2 * q @ r.T + (r**2).sum(1))
-                row, at, score = best(s, qids, rids, k, decimals)
-                yield pa.record_batch([pa.array(qids[row]), pa.array(rids[at]), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    return run
-
-
-def exact_search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip", decimals: int = 4) -> DataFrame:
-    """(query_id, rank, vec_id, score): the top k of vectors(id, vector) for all queries(id, vector), a row's own id left out.
+def first_k(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Where the k best scores of each row are, in order; ties go to the lower id."""
+    order = np.lexsort((ids, -score, row))
+    start = np.flatnonzero(np.append(True, np.diff(row[order]) != 0)) if len(row) else np.zeros(0, np.int64)
+    return order[np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row)))) < k]
 
-    Scores are rounded before they are ranked; ties go to the lower id. metric: ip (inner product) or l2 (minus squared distance).
-    """
-    q, r = packed(queries, 512).toDF("qi", "qx", "d"), packed(vectors).toDF("ri", "rx", "rd")
-    # A stated query set against all rows, block by block; an equi-join on the dimension would send all blocks to one task.
-    pairs = r.crossJoin(q).select("qi", "qx", "ri", "rx", "d", "rd")
-    found = pairs.mapInArrow(_scorer(k, metric, decimals), "query_id long, vec_id long, score double")
-    return top_k(found, ["query_id"], [F.desc("score"), F.asc("vec_id")], k).select("query_id", "rank", "vec_id", "score")
 
+class Best:
+    """The best k of each query so far, over the blocks that a task meets."""
 
-def _sample(vectors: DataFrame, n: int = SAMPLE) -> np.ndarray:
-    rows = vectors.toDF("id", "v").where("v is not null and size(v) > 0")
-    total = max(1, rows.count())
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(min(1.0, n / total) * (1 << 20)) + 1).orderBy("id")
-    return np.array([r["v"] for r in chosen.select("v").collect()], np.float64)
+    def __init__(self, k: int) -> None:
+        self.k, self.held = k, {}
 
+    def add(self, key: bytes, qids: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        if key in self.held:
+            q, i, s = (np.concatenate(x) for x in zip(self.held[key], (qids, ids, score)))
+            keep = first_k(q, i, s, self.k)
+            qids, ids, score = q[keep], i[keep], s[keep]
+        self.held[key] = (qids, ids, score)
 
-def k_means(x: np.ndarray, k: int, seed: int = 7, rounds: int = 15) -> np.ndarray:
-    """Centroids of Lloyd's algorithm; empty ones are moved to random rows."""
-    rng = np.random.default_rng(seed)
-    centres = x[rng.choice(len(x), k, replace=len(x) < k)]
-    for _ in range(rounds):
-        near = (-2 * x @ centres.T + (centres**2).sum(1)).argmin(1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
-        n = np.bincount(near, minlength=k)
-        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], x[rng.integers(0, len(x), k)])
-    return centres
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for q, i, s in self.held.values():
+            yield pa.record_batch([pa.array(q), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
 
 
-def list_count(n: int, wanted: int = 1024) -> int:
-    """Inverted lists for n rows: at least 39 rows each."""
-    return max(1, min(wanted, n // 39))
+def _scorer(k: int, metric: str, decimals: int, kinds: tuple[str, str], among: str | None = None):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Best(k)
+        for batch in batches:
+            for qi, qx, ri, rx, d, *groups in zip(*(c.to_pylist() for c in batch.columns)):
+                q, r = (np.frombuffer(b, kind).reshape(-1, d).astype(np.float64) for b, kind in zip((qx, rx), kinds))
+                qids, rids = np.frombuffer(qi, "<i8"), np.frombuffer(ri, "<i8")
+                if metric == "cosine":
+                    q, r = unit(q), unit(r)
+                s = -((q**2).sum(1)[:, None] - 2 * q @ r.T + (r**2).sum(1)) if metric == "l2" else q @ r.T
+                if among:
+                    qg, rg = (np.frombuffer(g, "<i8") for g in groups)
+                    s[(qg[:, None] == rg[None, :]) != (among == "same")] = -np.inf
+                row, at, score = best(s, qids, rids, k, decimals)
+                found.add(qi, qids[row], rids[at], score)
+        yield from found.rows()
 
+    return run
 
-def ivf_lists(vectors: DataFrame, centroids: np.ndarray, probes: int = 1) -> DataFrame:
-    """(id, v, list): each vector with its nearest lists (by inner product of unit vectors)."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = unit(_matrix(batch.column(1)))
-            n = min(probes, len(centroids))
-            near = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :n]
-            at = pa.array(np.repeat(np.arange(len(x)), n))
-            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel().astype(np.int32))], names=["id", "v", "list"])
+HITS = "query_id long, vec_id long, score double"
 
-    rows = vectors.toDF("id", "v").where("id is not null and v is not null and size(v) > 0").select(F.col("id").cast("long"), F.col("v").cast("array<double>"))
-    return rows.mapInArrow(run, "id long, v array<double>, list int")
 
+def exact_search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip", decimals: int = 4, among: str | None = None, sent: int = SENT) -> DataFrame:
+    """(query_id, rank, vec_id, score): the top k of vectors(id, vector) for all queries(id, vector), a row's own id left out.
 
-def enough_probes(vectors: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int, recall: float, seed: int = 7) -> int:
-    """Probes with which ASKED of the queries find the share recall of their true top k; their truth is exact, over all vectors."""
-    rows, asked = (df.toDF("id", "v").where("id is not null and v is not null and size(v) > 0").select(F.col("id").cast("long"), F.col("v").cast("array<double>")) for df in (vectors, queries))
-    chosen = asked.orderBy(F.xxhash64("id", F.lit(seed))).limit(ASKED).collect()
-    if not chosen:
-        return 1
-    qids, q = np.array([r["id"] for r in chosen]), unit(np.array([r["v"] for r in chosen], np.float64))
-    place = np.argsort(np.argsort(-(q @ centroids.T), axis=1, kind="stable"), axis=1)
+    Only vectors of the query's dimension are compared. Scores are rounded before they are ranked; ties go to the lower
+    id. metric: ip (inner product), cosine, or l2 (minus squared distance). among: 'same' or 'other', to compare only
+    rows whose third column, a group, is or isn't the query's.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, BLOCK) for i in range(0, len(batch), BLOCK)):
-                rids, x = part.column(0).to_numpy(zero_copy_only=False), unit(_matrix(part.column(1)))
-                row, at, score = best(q @ x.T, qids, rids, k, 4)
-                own = (x @ centroids.T).argmax(axis=1)
-                yield pa.record_batch([pa.array(qids[row]), pa.array(rids[at]), pa.array(score), pa.array(place[row, own[at]] + 1)], names=["query_id", "vec_id", "score", "probe"])
-
-    found = rows.mapInArrow(run, "query_id long, vec_id long, score double, probe long")
-    needed = sorted(r["probe"] for r in top_k(found, ["query_id"], [F.desc("score"), F.asc("vec_id")], k).select("probe").collect())
-    return needed[max(0, int(np.ceil(recall * len(needed))) - 1)] if needed else 1
-
-
-def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int | None = None, lists: int = 1024, seed: int = 7, recall: float = 0.95) -> DataFrame:
-    """exact_search() within the probes nearest inverted lists of each query; if probes is null, as many as give a sample of
-    the queries this recall, PROBES at least."""
-    sample = unit(_sample(vectors))
-    centroids = unit(k_means(sample, list_count(len(sample), lists), seed))
-    if probes is None:
-        probes = max(PROBES, enough_probes(vectors, queries, centroids, k, recall, seed))
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        asks = rows["asks"].to_numpy(zero_copy_only=False)
-        x, ids = _matrix(rows["v"].combine_chunks()), rows["id"].to_numpy()
-        q, r = np.flatnonzero(asks), np.flatnonzero(~asks)
-        out = [pa.record_batch([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query_id", "vec_id", "score"])]
-        for i in range(0, len(q), 512):
-            asked = ids[q[i : i + 512]]
-            row, at, score = best(unit(x[q[i : i + 512]]) @ unit(x[r]).T, asked, ids[r], k, 4)
-            out.append(pa.record_batch([pa.array(asked[row]), pa.array(ids[r][at]), pa.array(score)], names=["query_id", "vec_id", "score"]))
-        return pa.Table.from_batches(out)
-
-    both = ivf_lists(vectors, centroids).withColumn("asks", F.lit(False)).unionByName(ivf_lists(queries, centroids, probes).withColumn("asks", F.lit(True)))
-    found = both.groupBy("list").applyInArrow(run, "query_id long, vec_id long, score double")
-    return top_k(found, ["query_id"], [F.desc("score"), F.asc("vec_id")], k).select("query_id", "rank", "vec_id", "score")
-
-
-def pq_segments(d: int) -> int:
-    """The largest of 64, 32, … 1 that divides d."""
-    return next(m for m in (64, 32, 16, 8, 4, 2, 1) if d % m == 0)
-
-
-def pq_search(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int | None = None, segments: int = 32, candidates: int = 200, seed: int = 7) -> DataFrame:
-    """Candidates by product-quantised codes (a table look-up for each segment), reranked by the vectors themselves. A segment
-    has as many bits as the sample allows (39 rows for each centroid), at most 8, if bits is null."""
-    sample = unit(_sample(vectors))
-    if bits is None:
-        bits = max(1, min(8, int(np.log2(max(2, len(sample) / 39)))))
-    if len(sample) < 39 << bits:
-        raise ValueError(f"{bits} bits need {39 << bits} vectors")
-    m = segments if sample.shape[1] % segments == 0 else pq_segments(sample.shape[1])
-    books = [k_means(part, 1 << bits, seed) for part in np.split(sample, m, axis=1)]
-
-    def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = np.split(unit(_matrix(batch.column(1))), m, axis=1)
-            codes = np.stack([(-2 * p @ b.T + (b**2).sum(1)).argmin(1) for p, b in zip(parts, books)], axis=1).astype(np.uint8)
-            for i in range(0, len(codes), BLOCK):
-                yield pa.record_batch([pa.array([batch.column(0).slice(i, BLOCK).to_numpy(zero_copy_only=False).astype("<i8").tobytes()]), pa.array([codes[i : i + BLOCK].tobytes()])], names=["ri", "codes"])
+    It compares a stated query set with all rows, block by block. Queries of up to SENT bytes go to all tasks; more are
+    dealt, like the vectors, into parts of about that size, and each pair of parts is a key of its own.
+    """
+    if metric not in ("ip", "cosine", "l2"):
+        raise ValueError(f"unknown metric: {metric}")
+    q, r = packed(queries).toDF("qi", "qx", "d", "qg"), packed(vectors).toDF("ri", "rx", "d", "rg")
+    parts = lambda rows: 1 + (8 * (rows.agg(F.sum(F.size(rows.columns[1]))).first()[0] or 0)) // sent
+    if (n := parts(queries)) == 1:
+        pairs = r.join(F.broadcast(q), "d")
+    else:
+        m = parts(vectors)
+        deal = lambda blocks, ids, own, count, other, others: blocks.withColumn(own, F.pmod(F.xxhash64(ids), F.lit(count))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        pairs = deal(r, "ri", "x", m, "y", n).join(deal(q, "qi", "y", n, "x", m), ["d", "x", "y"])
+    found = pairs.select("qi", "qx", "ri", "rx", "d", "qg", "rg").mapInArrow(_scorer(k, metric, decimals, (kind_of(queries), kind_of(vectors)), among), HITS)
+    return ranked(found, k)
 
-    def look_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for qi, qx, d, ri, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                parts = np.split(unit(np.frombuffer(qx).reshape(-1, d)), m, axis=1)
-                codes, qids, rids = np.frombuffer(raw, np.uint8).reshape(-1, m), np.frombuffer(qi, "<i8"), np.frombuffer(ri, "<i8")
-                s = sum((p @ b.T)[:, codes[:, j]] for j, (p, b) in enumerate(zip(parts, books)))
-                row, at, score = best(s, qids, rids, candidates, 6)
-                yield pa.record_batch([pa.array(qids[row]), pa.array(rids[at]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    rows = vectors.toDF("id", "v").where("id is not null and v is not null and size(v) > 0").select(F.col("id").cast("long"), F.col("v").cast("array<double>"))
-    coded, asked = rows.mapInArrow(code, "ri binary, codes binary"), packed(queries, 256).toDF("qi", "qx", "d")
-    coarse = coded.crossJoin(asked).select("qi", "qx", "d", "ri", "codes").mapInArrow(look_up, "query_id long, vec_id long, score double")
-    coarse = top_k(coarse, ["query_id"], [F.desc("score"), F.asc("vec_id")], candidates)
-    return rerank_exact(coarse, vectors, queries, k)
+def ranked(hits: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) of hits(query_id, vec_id, score): the k best, ties to the lower id."""
+    return top_k(hits, ["query_id"], [F.desc("score"), F.asc("vec_id")], k).select("query_id", "rank", "vec_id", "score")
 
 
 def rerank_exact(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -227,21 +171,42 @@ def rerank_exact(candidates: DataFrame, vectors: DataFrame, queries: DataFrame,
     return top_k(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], k).select("query_id", "rank", "vec_id", "score")
 
 
-def lsh_search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 40, bits: int = 6, seed: int = 7) -> DataFrame:
-    """Candidates that agree with a query on the signs of bits random projections in at least one of the tables, reranked
-    by cosine; the sign patterns are computed block by block, the join is by (table, pattern)."""
-    d = len(vectors.toDF("id", "v").where("v is not null").first()["v"])
-    planes = np.random.default_rng(seed).standard_normal((d, tables * bits))
+def lsh_search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 10, bits: int | None = None, seed: int = 7, bucket: int = BUCKET) -> DataFrame:
+    """The best k by cosine among the vectors that share a bucket with a query in at least one of the tables.
 
-    def patterns(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            signs = (_matrix(batch.column(1)) @ planes > 0).reshape(-1, tables, bits)
-            codes = (signs @ (1 << np.arange(bits))) + (np.arange(tables) << bits)
-            yield pa.record_batch([batch.column(0).take(pa.array(np.repeat(np.arange(len(codes)), tables))), pa.array(codes.ravel().astype(np.int64))], names=["id", "code"])
-
-    def coded(rows: DataFrame, name: str) -> DataFrame:
-        clean = rows.toDF("id", "v").where("id is not null and v is not null").select(F.col("id").cast("long"), F.col("v").cast("array<double>"))
-        return clean.mapInArrow(patterns, "id long, code long").withColumnRenamed("id", name)
-
-    met = coded(vectors, "vec_id").join(coded(queries, "query_id"), "code").select("query_id", "vec_id").distinct()
-    return rerank_exact(met, vectors, queries, k)
+    A bucket is a pattern of signs of random projections; a query also looks into those whose pattern differs in one sign.
+    A table has as many bits as keep a bucket near bucket rows, if bits is null. Rows of a bucket are packed into blocks and scored where
+    they lie, so a large bucket is many blocks, and only the best of each task travel on.
+    """
+    rows, asked = clean(spread(vectors)), clean(queries)
+    kinds = kind_of(queries), kind_of(vectors)
+    sizes = {r["d"]: r["n"] for r in rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    of = {d: bits if bits is not None else max(0, round(np.log2(n / bucket))) for d, n in sizes.items()}
+    planes = {d: np.random.default_rng([seed, d]).standard_normal((d, tables * b)) for d, b in of.items()}
+
+    def coder(kind: str, near: bool):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                for d in np.unique(lengths):
+                    if int(d) not in of:
+                        continue
+                    b = of[int(d)]
+                    part = batch.take(pa.array(np.flatnonzero(lengths == d)))
+                    ids, x = part.column(0).to_numpy(zero_copy_only=False).astype("<i8"), matrix(part.column(1))
+                    codes = ((x @ planes[int(d)] > 0).reshape(-1, tables, b) @ (1 << np.arange(b))).astype(np.int64)
+                    raw = x.astype(kind)
+                    for t in range(tables):
+                        for flip in (0, *(1 << np.arange(b))) if near else (0,):
+                            code = codes[:, t] ^ int(flip)
+                            order = np.argsort(code, kind="stable")
+                            ends = np.append(np.flatnonzero(np.diff(code[order])) + 1, len(order))
+                            cells = [(code[order[i]], order[i:j]) for i, j in zip(np.append(0, ends[:-1]), ends)]
+                            yield pa.record_batch([pa.array([int(d)] * len(cells), pa.int32()), pa.array([(t << 48) | int(c) for c, _ in cells], pa.int64()), pa.array([ids[at].tobytes() for _, at in cells]), pa.array([raw[at].tobytes() for _, at in cells])], names=["d", "cell", "ids", "x"])
+
+        return run
+
+    blocks = lambda of, kind, near, *names: of.withColumn("v", F.col("v").cast("array<float>" if kind == "<f4" else "array<double>")).mapInArrow(coder(kind, near), "d int, cell long, ids binary, x binary").toDF("d", "cell", *names)
+    pairs = blocks(rows, kinds[1], False, "ri", "rx").join(blocks(asked, kinds[0], True, "qi", "qx"), ["d", "cell"])
+    found = pairs.select("qi", "qx", "ri", "rx", "d").mapInArrow(_scorer(k, "cosine", 4, kinds), HITS)
+    return ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +48,20 @@ def window_sweep(hits: DataFrame, truth: DataFrame, windows: list[int]) -> DataF
 
 
 def margins(scores: DataFrame, near: float = 0.05) -> DataFrame:
-    """(query_id, margin, close) of scores(query_id, doc_id, score, is_truth): the truth's score less the best other's."""
-    by = Window.partitionBy("query_id")
-    best = scores.withColumns({"t": F.max(F.when(F.col("is_truth"), F.col("score"))).over(by), "o": F.max(F.when(~F.col("is_truth"), F.col("score"))).over(by)})
-    one = best.groupBy("query_id").agg(F.round(F.first("t") - F.first("o"), 4).alias("margin"))
+    """(query_id, margin, close) of scores(query_id, truth, other): the truth's best score less the best other's; null if one is missing."""
+    one = scores.select("query_id", F.round(F.col("truth") - F.col("other"), 4).alias("margin"))
     return one.withColumn("close", F.abs("margin") <= near)
 
 
+def recall_of_kinds(truth: DataFrame, found: dict[str, DataFrame], least: float) -> DataFrame:
+    """(kind, queries, enough): for each kind of search, whether its hits hold the share least of the truth's (query_id, vec_id)."""
+    sizes = truth.agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("query_id").alias("queries"))
+    hits = reduce(DataFrame.unionByName, [f.select(F.lit(kind).alias("kind"), "query_id", "vec_id") for kind, f in found.items()])
+    met = hits.join(truth, ["query_id", "vec_id"], "left_semi").groupBy("kind").agg(F.count(F.lit(1)).alias("met"))
+    kinds = truth.sparkSession.createDataFrame([(k,) for k in found], "kind string")
+    return kinds.join(met, "kind", "left").crossJoin(sizes).select("kind", "queries", (F.coalesce("met", F.lit(0)) >= least * F.col("pairs")).alias("enough"))
+
+
 def bootstrap(values: DataFrame, value: str, resamples: int = 2000, seed: int = 20260907) -> DataFrame:
     """One row (mean, low, high): the mean and its 95 % interval over Poisson resamples.
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import vectors as V
-from quillstone.operators import dense, evaluate
+from quillstone.operators import ann, dense, evaluate
 from quillstone.operators.ranking import top_k
 from quillstone.plans.registry import query
-from quillstone.session import spread, table
+from quillstone.session import cut, scratch, table
 
 USABLE = """vec as (select vec_id, product_id, dimension, vectors::double[] as v from vectors where vectors is not null and len(vectors) = dimension and dimension > 0
   and len([x for x in vectors if x is null or not isfinite(x)]) = 0 and len([x for x in vectors if x <> 0]) > 0)"""
@@ -26,8 +26,10 @@ def usable(spark, d) -> DataFrame:
     return rows.select("vec_id", "product_id", "dimension", v.alias("v"))
 
 
-def _unit(spark, d) -> DataFrame:
-    return spread(usable(spark, d)).select("vec_id", V.l2_normalise(F.col("v")).alias("v"))
+def _vectors(spark, d) -> tuple[DataFrame, DataFrame]:
+    """All usable vectors, and those of the stated query set."""
+    rows = usable(spark, d).select("vec_id", "v")
+    return rows, rows.where("vec_id % 20 = 0")
 
 
 def _embeddings(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -64,8 +66,7 @@ def blend(spark, d):
 
 @query("dense_exact_topk_H5", f"with {USABLE}, {PAIRED}, {RANKED} select * from ranked where rank <= 10")
 def dense_exact(spark, d):
-    rows = _unit(spark, d)
-    return dense.exact_search(rows, rows.where("vec_id % 20 = 0"), 10)
+    return dense.exact_search(*_vectors(spark, d), 10, "cosine")
 
 
 @query(
@@ -73,8 +74,8 @@ def dense_exact(spark, d):
     f"with {USABLE}, {PAIRED}, {RANKED}, kept as (select query_id, vec_id, score from ranked where vec_id % 3 <> 0) select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from kept qualify rank <= 5",
 )
 def exclude_then_topk(spark, d):
-    rows = _unit(spark, d)
-    return dense.exact_search(rows.where("vec_id % 3 <> 0"), rows.where("vec_id % 20 = 0"), 5)
+    rows, asked = _vectors(spark, d)
+    return dense.exact_search(rows.where("vec_id % 3 <> 0"), asked, 5, "cosine")
 
 
 @query(
@@ -83,8 +84,8 @@ def exclude_then_topk(spark, d):
 )
 def dense_filtered(spark, d):
     cheap = table(spark, d, "products").where("price <= 400").select(F.col("id").alias("product_id"))
-    fits = usable(spark, d).join(cheap, "product_id", "left_semi").select("vec_id", V.l2_normalise(F.col("v")).alias("v"))
-    return dense.exact_search(fits, _unit(spark, d).where("vec_id % 20 = 0"), 5)
+    fits = usable(spark, d).join(cheap, "product_id", "left_semi").select("vec_id", "v")
+    return dense.exact_search(fits, _vectors(spark, d)[1], 5, "cosine")
 
 
 @query(
@@ -102,37 +103,122 @@ def knn_vote(spark, d):
     return best.join(own, "query_id").select("query_id", "query_label", F.col("label").alias("voted"), "votes")
 
 
-@query("rerank_exact_H21", f"with {USABLE}, {PAIRED}, {RANKED}, coarse as (select * from ranked where rank <= 40 and vec_id % 2 = 0) select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from coarse qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10")
+@query(
+    "rerank_exact_H21",
+    f"""with {USABLE}, pairs as (select q.vec_id as query_id, r.vec_id, round(-list_sum([(q.v[i] - r.v[i]) * (q.v[i] - r.v[i]) for i in range(1, len(q.v) + 1)]), 4) as coarse, round(list_cosine_similarity(q.v, r.v), 4) as score
+  from vec q join vec r on q.dimension = r.dimension and q.vec_id <> r.vec_id where q.vec_id % 20 = 0),
+near as (select * from pairs qualify row_number() over (partition by query_id order by coarse desc, vec_id) <= 40)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from near qualify rank <= 10""",
+)
 def rerank_exact(spark, d):
-    rows = _unit(spark, d)
-    coarse = dense.exact_search(rows, rows.where("vec_id % 20 = 0"), 40).where("vec_id % 2 = 0")
-    return dense.rerank_exact(coarse, rows, rows, 10)
+    rows, asked = _vectors(spark, d)
+    return dense.rerank_exact(dense.exact_search(rows, asked, 40, "l2"), rows, asked, 10)
 
 
 @query("ivf_topk_H7")
 def ivf(spark, d):
-    rows, asked = _embeddings(spark, d)
-    return dense.ivf_search(rows, asked, 10)
+    return ann.ivf_search(*_embeddings(spark, d), 10)
 
 
 @query("ivfpq_rerank_H8")
 def ivfpq(spark, d):
-    rows, asked = _embeddings(spark, d)
-    return dense.pq_search(rows, asked, 10)
+    return ann.pq_search(*_embeddings(spark, d), 10)
 
 
 @query("lsh_topk_H9")
 def lsh(spark, d):
+    return dense.lsh_search(*_embeddings(spark, d), 10)
+
+
+@query("ann_recall_H7_H8_H9_N5", "select kind, (select count(*) from embeddings where vec_id % 20 = 0) as queries, true as enough from (values ('ivf'), ('ivfpq'), ('lsh')) t(kind)")
+def ann_recall(spark, d):
+    """Whether each approximate search finds at least 0.9 of the exact top 10."""
+    rows, asked = _embeddings(spark, d)
+    truth = dense.exact_search(rows, asked, 10, "cosine").select("query_id", "vec_id")
+    found = {"ivf": ann.ivf_search(rows, asked, 10), "ivfpq": ann.pq_search(rows, asked, 10), "lsh": dense.lsh_search(rows, asked, 10)}
+    return evaluate.recall_of_kinds(truth, found, 0.9)
+
+
+def _valued(spark, d):
+    """Embeddings with a value to filter by, and queries with bounds on it, some of which hardly any row keeps."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("vec_id") * 7919 % 1000).cast("double").alias("value"))
+    asked = rows.where("vec_id % 20 = 0").select("vec_id", "embedding", F.element_at(F.array(F.lit(1000.0), F.lit(200.0), F.lit(10.0), F.lit(2.0)), (F.col("vec_id") / 20 % 4 + 1).cast("int")).alias("most"))
+    return rows, asked
+
+
+VALUED = """val as (select vec_id, embedding::double[] as v, vec_id * 7919 % 1000 as value from embeddings), asks as (select vec_id as query_id, v, [1000, 200, 10, 2][(vec_id // 20) % 4 + 1] as most from val where vec_id % 20 = 0),
+fits as (select query_id, vec_id, most, round(list_cosine_similarity(a.v, b.v), 4) as score from asks a join val b on b.value <= a.most and b.vec_id <> a.query_id)"""
+
+
+def _filtered(spark, d, **how):
+    rows, asked = _valued(spark, d)
+    index = ann.AnnIndex.build(rows, "ivf", value=F.col("value"))
+    return ann.filtered_search(index, asked, 10, F.col("most"), rows, **how)
+
+
+@query("probe_escalation_H11_H10", f"with {VALUED}, n as (select query_id, count(*) as n from fits group by query_id) select a.query_id, least(10, coalesce(n, 0)) as hits from asks a join n using (query_id)")
+def probe_escalation(spark, d):
+    hits, _ = _filtered(spark, d)
+    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query(
+    "exact_fallback_H12",
+    f"with {VALUED} select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from fits where most <= 2 qualify rank <= 10",
+)
+def exact_fallback(spark, d):
+    # One round of one list, so queries that few rows fit are searched exactly.
+    hits, stats = _filtered(spark, d, probes=1, rounds=1)
+    return hits.join(stats.where("fallback = 'exact'").join(_valued(spark, d)[1].where("most <= 2").select(F.col("vec_id").alias("query_id")), "query_id").select("query_id"), "query_id", "left_semi")
+
+
+@query("search_stats_H13_Q8", f"with {VALUED}, n as (select a.query_id, count(f.vec_id) as n from asks a left join fits f using (query_id) group by all) select query_id, least(10, n) as matched, n < 10 as exhausted, 'none' as fallback from n")
+def search_stats(spark, d):
+    _, stats = _filtered(spark, d)
+    return stats.select("query_id", "matched", "exhausted", "fallback")
+
+
+@query("filter_pressure_N6_C4", f"with {VALUED} select most, true as enough, count(distinct query_id) as queries from fits group by most")
+def filter_pressure(spark, d):
+    """Whether the filtered search agrees with the exact one, for each bound of the filter."""
+    rows, asked = _valued(spark, d)
+    hits, _ = _filtered(spark, d, probes=16)
+    truth = ann.ranked(ann._exact_filtered(ann.Manifest("flat", 64, 0, 1), rows, ann._asked(asked, F.col("most")), 10), 10)
+    both = truth.join(hits.select("query_id", "vec_id", F.lit(1).alias("found")), ["query_id", "vec_id"], "left").join(asked.select(F.col("vec_id").alias("query_id"), F.col("most").cast("int").alias("most")), "query_id")
+    return both.groupBy("most").agg((F.count("found") >= 0.9 * F.count(F.lit(1))).alias("enough"), F.countDistinct("query_id").alias("queries"))
+
+
+@query("ann_index_round_trip_I2_I3_A9_Q7", "select 'ivf' as kind, 64 as dimension, count(*) as count, true as same, true as refused from embeddings")
+def ann_round_trip(spark, d):
     rows, asked = _embeddings(spark, d)
-    return dense.lsh_search(rows, asked, 10)
+    with scratch(spark) as at:
+        built = ann.AnnIndex.build(rows, "ivf")
+        built.save(at)
+        loaded = ann.AnnIndex.load(spark, at, "ivf", 64)
+        try:
+            ann.AnnIndex.load(spark, at, "ivfpq")
+            refused = False
+        except ValueError:
+            refused = True
+        a, b = (index.search(asked, 10, 8) for index in (built, loaded))
+        differ = cut(a.exceptAll(b).unionAll(b.exceptAll(a)).agg((F.count(F.lit(1)) == 0).alias("same")))
+        described = cut(loaded.describe())
+    return described.crossJoin(differ).select("kind", "dimension", "count", "same", F.lit(refused).alias("refused"))
+
+
+@query("multi_round_union_G2", f"with {VALUED}, r as (select query_id, vec_id, score from fits qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10), p as (select vec_id as query_id, v from val where vec_id % 20 = 0), l as (select query_id, b.vec_id, round(-list_sum([(p.v[i] - b.v[i]) * (p.v[i] - b.v[i]) for i in range(1, 65)]), 4) as score from p join val b on b.vec_id <> query_id qualify row_number() over (partition by query_id order by score desc, b.vec_id) <= 10) select query_id, vec_id, max(score) as score from (select * from r union all select * from l) group by all")
+def multi_round_union(spark, d):
+    rows, asked = _valued(spark, d)
+    near = ann.ranked(ann._exact_filtered(ann.Manifest("flat", 64, 0, 1), rows, ann._asked(asked, F.col("most")), 10), 10)
+    far = dense.exact_search(rows.select("vec_id", "embedding"), asked.select("vec_id", "embedding"), 10, "l2")
+    return ann.union_best([r.select("query_id", "vec_id", "score") for r in (near, far)])
 
 
 SETS = f"with {USABLE}, {PAIRED}, {RANKED}, t as (select query_id, list(vec_id) as t from ranked where rank <= 10 group by all), g as (select query_id, list(vec_id) as g from ranked where rank <= 12 and rank % 3 <> 0 group by all)"
 
 
 def _sets(spark, d):
-    rows = _unit(spark, d)
-    near = dense.exact_search(rows, rows.where("vec_id % 20 = 0"), 12)
+    near = dense.exact_search(*_vectors(spark, d), 12, "cosine")
     return near.groupBy("query_id").agg(F.collect_list(F.when(F.col("rank") <= 10, F.col("vec_id"))).alias("t"), F.collect_list(F.when(F.col("rank") % 3 != 0, F.col("vec_id"))).alias("g"))
 
 
@@ -155,8 +241,6 @@ def jaccard(spark, d):
 m as (select query_id, round(max(score) filter (is_truth) - max(score) filter (not is_truth), 4) as margin from s group by query_id) select query_id, margin, abs(margin) <= 0.05 as close from m""",
 )
 def margin(spark, d):
-    labels = table(spark, d, "embeddings").select("vec_id", "label")
-    rows, asked = _embeddings(spark, d)
-    n = rows.count()
-    near = dense.exact_search(rows, asked, n).join(labels, "vec_id").join(labels.toDF("query_id", "query_label"), "query_id")
-    return evaluate.margins(near.select("query_id", F.col("vec_id").alias("doc_id"), "score", (F.col("label") == F.col("query_label")).alias("is_truth")))
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    best = lambda among, name: dense.exact_search(rows, rows.where("vec_id % 20 = 0"), 1, among=among).select("query_id", F.col("score").alias(name))
+    return evaluate.margins(best("same", "truth").join(best("other", "other"), "query_id", "full_outer"))

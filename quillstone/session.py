@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,16 +28,46 @@ def local_session(cores: int = 4, shuffle_partitions: int = 8) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; a temporary one is set only where the session names none."""
+    """The shared folder for checkpoints that the session names. A local session may do without; then it is a temporary one,
+    removed at the end. On a cluster that would be a folder of each machine, so it is an error there."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if named and not context.getCheckpointDir():
+    if not context.getCheckpointDir():
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        if not named:
+            named = tempfile.mkdtemp(prefix="quillstone-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
         context.setCheckpointDir(named)
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-"))
     return context.getCheckpointDir()
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of any file system that Spark reads, if it is there."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended; so has the folder of a local one
+        pass
+
+
+def fresh_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder under the checkpoint folder; it is removed when the process ends."""
+    path = f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder that is removed at the end of the block."""
+    path = f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        _remove(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the checkpoint folder and returns it without its lineage, so that it is computed once."""
     checkpoint_dir(df.sparkSession)
@@ -42,9 +76,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the checkpoint folder: like cut(), but compressed, and read by the columns that are needed."""
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    return back
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
 from quillstone.functions import vectors as V
-from quillstone.operators import dense, evaluate, fusion, lexical, ranking, segments, synthetic
+from quillstone.operators import ann, dense, evaluate, fusion, lexical, ranking, segments, synthetic
 from quillstone.plans import QUERIES
 
 
@@ -118,19 +118,19 @@ def test_approximate_search_against_exact(spark):
     def recall(df):
         return len(truth & {(r["query_id"], r["vec_id"]) for r in df.collect()}) / len(truth)
 
-    narrow, wide = (recall(dense.ivf_search(data, asked, 10, probes=p)) for p in (1, 8))
+    narrow, wide = (recall(ann.ivf_search(data, asked, 10, probes=p)) for p in (1, 8))
     assert narrow <= wide and wide > 0.95
-    assert recall(dense.pq_search(data, asked, 10, bits=4, segments=8, candidates=200)) > 0.9
+    assert recall(ann.pq_search(data, asked, 10, bits=4, segments=8, candidates=200)) > 0.9
     assert recall(dense.lsh_search(data, asked, 10)) > 0.9
     with pytest.raises(ValueError, match="vectors"):
-        dense.pq_search(data, asked, bits=8)
+        ann.pq_search(data, asked, bits=8)
 
 
 def test_inverted_lists_of_many_rows_are_probed_enough(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((20_000, 64)) * np.linspace(1, 0.5, 64) + 0.05
     data = spark.createDataFrame(pa.table({"id": pa.array(np.arange(len(x))), "v": pa.array(list(x))})).repartition(4)
-    got = dense.ivf_search(data, data.where("id % 40 = 0"), 10).collect()
+    got = ann.ivf_search(data, data.where("id % 40 = 0"), 10).collect()
     unit, truth = dense.unit(x), set()
     for i in range(0, len(x), 40):
         score = np.round(unit @ unit[i], 4)
