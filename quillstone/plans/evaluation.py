@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
-from quillstone.operators import evaluate, lexical
+from quillstone.operators import evaluate, lexical, packed
 from quillstone.operators.ranking import first_relevant_rank, top_k
 from quillstone.plans.registry import query
-from quillstone.plans.retrieval import INDEX, index
+from quillstone.plans.retrieval import INDEX, named, packed_index
 from quillstone.plans.text import terms_sql
 from quillstone.session import table
 
@@ -23,10 +23,15 @@ METRICS = """count(*) as cases, round(avg(case when r <= 1 then 1.0 else 0.0 end
 round(avg(case when r <= 10 then 1.0 else 0.0 end), 6) as recall_at_10, round(avg(coalesce(1 / r, 0)), 6) as mrr, round(avg(case when r <= 10 then 1 / log2(r + 1) else 0.0 end), 6) as ndcg_at_10"""
 
 
+def _found(spark, d, rows, k):
+    """The top k for the titles of rows."""
+    terms = lexical.query_terms(rows.select(F.col("row_id").alias("query_id"), "title"), "query_id", X.analyze(F.col("title")))
+    return named(spark, d, packed.search(packed_index(spark, d, X.analyze), terms, k))
+
+
 def _ranks(spark, d):
     rows = table(spark, d, "products").where("row_id % 20 = 0 and title is not null")
-    built = index(spark, d)
-    found = lexical.bm25_search(built, rows.select(F.col("row_id").alias("query_id"), F.col("title").alias("query")), X.analyze(F.col("query")), 10, "row_id")
+    found = _found(spark, d, rows, 10)
     truth = rows.select(F.col("row_id").alias("query_id"), F.col("id").alias("doc_id"))
     return first_relevant_rank(found, truth, ["query_id"], "doc_id").join(rows.select(F.col("row_id").alias("query_id"), "category"), "query_id")
 
@@ -60,10 +65,8 @@ select round(avg(case when exists (select 1 from top t where t.query_id = a.quer
 )
 def hit_strict_loose(spark, d):
     rows = table(spark, d, "products").where("row_id % 20 = 0 and title is not null")
-    built = index(spark, d)
-    found = lexical.bm25_search(built, rows.select(F.col("row_id").alias("query_id"), F.col("title").alias("query")), X.analyze(F.col("query")), 5, "row_id")
-    named = found.join(built.docs.select("doc_id", F.col("category").alias("hit_category")), "doc_id")
-    per_query = rows.select(F.col("row_id").alias("query_id"), "id", "category").join(named, "query_id", "left").groupBy("query_id")
+    hit = _found(spark, d, rows, 5).join(table(spark, d, "products").select(F.col("id").alias("doc_id"), F.col("category").alias("hit_category")), "doc_id")
+    per_query = rows.select(F.col("row_id").alias("query_id"), "id", "category").join(hit, "query_id", "left").groupBy("query_id")
     hits = per_query.agg(F.max(F.coalesce(F.col("doc_id") == F.col("id"), F.lit(False)).cast("double")).alias("s"), F.max(F.coalesce(F.col("hit_category") == F.col("category"), F.lit(False)).cast("double")).alias("l"))
     return hits.agg(F.round(F.avg("s"), 6).alias("strict"), F.round(F.avg("l"), 6).alias("loose"))
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
-from quillstone.operators import evaluate, fusion, lexical, segments
+from quillstone.operators import evaluate, fusion, lexical, packed, segments
 from quillstone.operators.ranking import top_k
 from quillstone.plans.registry import query
 from quillstone.plans.text import SEARCHABLE, terms_sql, tokens_sql
-from quillstone.session import table
+from quillstone.session import fresh_folder, kept, table
 
 # The stated query set: every row whose number is divisible by 20, against all rows.
 ASKED = "asked as (select cast(split_part(id, '-', 2) as bigint) as query_id, query from planner_test where cast(split_part(id, '-', 2) as bigint) % 20 = 0)"
@@ -46,8 +46,27 @@ def index(spark, d):
     return lexical.build_index(documents(spark, d), "doc_id", X.analyze(F.col("text")), ["row_id", "rating", "category", "value"])
 
 
+def packed_index(spark, d, terms) -> packed.PackedIndex:
+    """The packed index of the products' terms (analyze or tokenize); built once for a session and state of the table."""
+
+    def build():
+        return packed.PackedIndex.build(documents(spark, d), F.col("row_id"), terms(F.col("text")), F.col("value"), F.col("category"))
+
+    return kept(spark, f"{d}/products.parquet", f"packed-{terms.__name__}", build)
+
+
+def named(spark, d, hits):
+    """hits(query_id, rank, number, score) with the products' ids."""
+    ids = table(spark, d, "products").select(F.col("row_id").alias("number"), F.col("id").alias("doc_id"))
+    return ids.join(hits, "number").select("query_id", "rank", "doc_id", "score")
+
+
+def wanted(spark, d, terms):
+    return lexical.query_terms(asked(spark, d), "query_id", terms(F.col("query")))
+
+
 def bm25(spark, d, k):
-    return lexical.bm25_search(index(spark, d), asked(spark, d), X.analyze(F.col("query")), k, "row_id")
+    return named(spark, d, packed.search(packed_index(spark, d, X.analyze), wanted(spark, d, X.analyze), k))
 
 
 def baseline(spark, d):
@@ -59,8 +78,7 @@ def baseline(spark, d):
 
 
 def baseline_ranked(spark, d, k):
-    rows = baseline(spark, d).join(documents(spark, d).select("doc_id", "row_id"), "doc_id")
-    return top_k(rows, ["query_id"], [F.desc("score"), F.asc("row_id")], k).select("query_id", "rank", "doc_id", "score")
+    return named(spark, d, packed.overlap_search(packed_index(spark, d, X.tokenize), wanted(spark, d, X.tokenize), k))
 
 
 @query("term_freq_E1", f"with {INDEX} select doc_id, term, tf from postings")
@@ -100,13 +118,10 @@ def bm25_topk(spark, d):
 select query_id, row_number() over (partition by query_id order by score desc, row_id) as rank, doc_id, score from allowed qualify rank <= 5""",
 )
 def bm25_filtered(spark, d):
-    built = index(spark, d)
-    scores = lexical.bm25_scores(built, lexical.query_terms(asked(spark, d), "query_id", X.analyze(F.col("query")))).withColumn("score", F.round("score", 4))
-    named = scores.join(built.docs.select("doc_id", "row_id"), "doc_id")
-    first = top_k(named, ["query_id"], [F.desc("score"), F.asc("row_id")], 1).groupBy("query_id").agg(F.collect_list("doc_id").alias("excluded"))
+    index, terms = packed_index(spark, d, X.analyze), wanted(spark, d, X.analyze)
+    first = packed.search(index, terms, 1).select("query_id", F.array("number").alias("excluded"))
     limits = asked(spark, d).select("query_id", F.when(F.col("query_id") % 3 == 0, 300.0 + F.col("query_id") % 500).alias("max_value"), F.when(F.col("query_id") % 2 == 0, "机").otherwise("").alias("category"))
-    kept = lexical.allowed(named, limits.join(first, "query_id", "left"), built.docs)
-    return top_k(kept, ["query_id"], [F.desc("score"), F.asc("row_id")], 5).select("query_id", "rank", "doc_id", "score")
+    return named(spark, d, packed.search(index, terms, 5, limits=limits.join(first, "query_id", "left")))
 
 
 @query("rating_fallback_F9", "select id, score, rank from (select id, round(rating / 5, 4) as score, row_number() over (partition by category order by rating desc nulls last, row_id) as rank from products) where rank <= 20")
@@ -237,15 +252,40 @@ def segment_prune(spark, d):
 select query_id, row_number() over (partition by query_id order by score desc, row_id) as rank, doc_id, score from fits qualify rank <= 10""",
 )
 def segmented_search(spark, d):
-    placed = segments.by_value(table(spark, d, "products").where("price is not null"), "price", 8)
-    stats = segments.statistics(placed, "price", "category")
-    alive = segments.surviving(stats, _limits(spark, d))
-    built = index(spark, d)
-    scores = lexical.bm25_scores(built, lexical.query_terms(asked(spark, d), "query_id", X.analyze(F.col("query")))).withColumn("score", F.round("score", 4))
-    # Only rows of segments that may match are looked at; the filter itself still holds for each row.
-    near = scores.join(placed.select(F.col("id").alias("doc_id"), "segment", "row_id"), "doc_id").join(alive, ["query_id", "segment"]).drop("segment")
-    none = _limits(spark, d).withColumn("excluded", F.lit(None).cast("array<string>"))
-    return top_k(lexical.allowed(near, none, built.docs), ["query_id"], [F.desc("score"), F.asc("row_id")], 10).select("query_id", "rank", "doc_id", "score")
+    products = table(spark, d, "products").where("price is not null")
+    placed = segments.by_value(products, "price", 8)
+    alive = segments.surviving(segments.statistics(placed, "price", "category"), _limits(spark, d)).withColumn("segment", F.col("segment").cast("string"))
+
+    def build():
+        rows = documents(spark, d).join(placed.select(F.col("id").alias("doc_id"), "segment"), "doc_id")
+        return packed.PackedIndex.build(rows, F.col("row_id"), X.analyze(F.col("text")), F.col("value"), F.col("category"), F.col("segment"))
+
+    built = kept(spark, f"{d}/products.parquet", "segmented", build)
+    # Statistics of terms are those of the whole catalog.
+    whole = packed_index(spark, d, X.analyze)
+    index = packed.PackedIndex(built.blocks, whole.terms, whole.stats)
+    none = _limits(spark, d).withColumn("excluded", F.lit(None).cast("array<long>"))
+    return named(spark, d, packed.search(index, wanted(spark, d, X.analyze), 10, limits=none, routes=alive))
+
+
+@query("segment_index_round_trip_I4_A8", f"{BM25}, {LIMITS}, fits as (select s.query_id, s.doc_id, s.score, d.row_id from scores s join docs d using (doc_id) join limits l using (query_id) where d.price <= l.max_value and (l.category = '' or contains(lower(d.category), l.category))) select query_id, row_number() over (partition by query_id order by score desc, row_id) as rank, doc_id, score from fits qualify rank <= 10")
+def segment_round_trip(spark, d):
+    """segmented_search() on an index that was saved, a folder for each segment, and loaded again."""
+    products = table(spark, d, "products").where("price is not null")
+    placed = segments.by_value(products, "price", 8)
+    alive = segments.surviving(segments.statistics(placed, "price", "category"), _limits(spark, d)).withColumn("segment", F.col("segment").cast("string"))
+    rows = documents(spark, d).join(placed.select(F.col("id").alias("doc_id"), "segment"), "doc_id")
+    at = fresh_folder(spark, "index")
+    packed.PackedIndex.build(rows, F.col("row_id"), X.analyze(F.col("text")), F.col("value"), F.col("category"), F.col("segment")).save(at)
+    whole = packed_index(spark, d, X.analyze)
+    index = packed.PackedIndex(packed.PackedIndex.load(spark, at, products.count()).blocks, whole.terms, whole.stats)
+    none = _limits(spark, d).withColumn("excluded", F.lit(None).cast("array<long>"))
+    return named(spark, d, packed.search(index, wanted(spark, d, X.analyze), 10, limits=none, routes=alive))
+
+
+@query("index_size_Q7", "select count(*) as documents, true as counted from products")
+def index_size(spark, d):
+    return packed_index(spark, d, X.analyze).describe().select("documents", ((F.col("bytes") > 0) & (F.col("terms") > 0) & (F.col("blocks") > 0)).alias("counted"))
 
 
 @query("segment_partition_G6", "select count(*) as rows, count(distinct id) as keys, count(*) as covered, count(*) = count(distinct id) as complete from products where price is not null")

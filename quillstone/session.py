@@ -82,6 +82,20 @@ def written(df: DataFrame) -> DataFrame:
     return back
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(spark: SparkSession, path: str, name: str, build):
+    """What build() makes of the table at path, made once for a session as long as the table's files stay the same."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    key = (spark.sparkContext.applicationId, path, name)
+    state = (files.getFileStatus(at).getModificationTime(), files.getContentSummary(at).getLength())
+    if key not in _KEPT or _KEPT[key][0] != state:
+        _KEPT[key] = (state, build())
+    return _KEPT[key][1]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A driver table in the given folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
