@@ -87,6 +87,17 @@ def stable_split(key: Column) -> Column:
     return F.when(bucket < 80, "train").when(bucket < 90, "validation").when(bucket.isNotNull(), "test")
 
 
+def plain_split(split: Column) -> Column:
+    """train, validation or test without case, padding and other names of validation; null if not assigned or unknown."""
+    name = F.lower(strip(split))
+    return F.when(name.isin("val", "valid", "dev", "validation"), "validation").when(name.isin("train", "test"), name)
+
+
+def plain_hash(content: Column) -> Column:
+    """A hexadecimal hash without case, padding or the name of its algorithm; null if there is none."""
+    return F.nullif(F.regexp_replace(F.lower(strip(content)), r"^sha256:\s*", ""), F.lit(""))
+
+
 def localized_pick(values: Column, languages: list[str]) -> Column:
     """The first non-empty value in the order of languages, else the first non-empty one, else ''."""
     filled = F.filter(values, lambda v: F.coalesce(v["value"], F.lit("")) != "")

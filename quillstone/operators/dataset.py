@@ -37,8 +37,10 @@ def canonical_content(rows: DataFrame, key: str, content: str) -> DataFrame:
 
 
 def summary(rows: DataFrame, key: str, image: str, split: str) -> DataFrame:
-    """One row: products, different images, repeated images, and rows of each split (0 where there are none)."""
+    """One row: products, different images, repeated images, and rows of each split (0 where there are none); splits and
+    hashes in their plain forms."""
     part = lambda s: F.count_if(F.col(split) == s).alias(s)
+    rows = rows.withColumns({split: X.plain_split(F.col(split)), image: X.plain_hash(F.col(image))})
     return rows.agg(F.count(F.lit(1)).alias("products"), F.countDistinct(image).alias("images"), (F.count(image) - F.countDistinct(image)).alias("repeated_images"), part("train"), part("validation"), part("test"))
 
 
@@ -47,6 +49,38 @@ def prepare(raw: DataFrame) -> DataFrame:
     return validate(raw).withColumn("split", X.stable_split(F.col("id")))
 
 
+def of_split(rows: DataFrame, wanted: str, split: str = "split") -> DataFrame:
+    """The rows of a split, by its plain name."""
+    return rows.where(X.plain_split(F.col(split)) == wanted)
+
+
+def resolvable_images(rows: DataFrame, files: DataFrame, image: str = "image_path") -> DataFrame:
+    """One row (rows, named, resolvable): how many rows name an image, and how many of those images are among files(path)."""
+    there = files.select(F.col("path").alias("__p")).where("__p is not null").distinct()
+    return rows.join(there, F.col(image) == F.col("__p"), "left").agg(F.count(F.lit(1)).alias("rows"), F.count(image).alias("named"), F.count("__p").alias("resolvable"))
+
+
+def alignment(catalog: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(problem, n) of a benchmark's tables that don't fit together; empty if they do.
+
+    catalog(id), vectors(id, vector), queries(product_id, query, vector): products without a vector, vectors without a product or of
+    another dimension than the most frequent one, queries without text, of another dimension, or of an unknown product.
+    """
+    size = vectors.where("vector is not null").groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("d", F.struct("n", "d")).alias("d"))
+    ids = catalog.select(F.col("id").alias("__id")).where("__id is not null").distinct()
+    apart = lambda rows: rows.crossJoin(F.broadcast(size)).where("vector is null or size(vector) <> d")
+    count = lambda rows, problem: rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(problem).alias("problem"), "n")
+    found = [
+        count(ids.join(vectors.select(F.col("id").alias("__id")), "__id", "left_anti"), "product without a vector"),
+        count(vectors.join(ids, F.col("id") == F.col("__id"), "left_anti"), "vector without a product"),
+        count(apart(vectors), "vector of another dimension"),
+        count(queries.where("coalesce(query, '') = ''"), "query without a text"),
+        count(apart(queries), "query of another dimension"),
+        count(queries.join(ids, F.col("product_id") == F.col("__id"), "left_anti"), "query of an unknown product"),
+    ]
+    return combine(found).where("n > 0")
+
+
 def disjoint(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """The values that both tables have; empty if they are disjoint."""
     return a.select(column).intersect(b.select(column))
@@ -89,7 +123,7 @@ def listing_counts(listings: DataFrame, images: DataFrame, languages: list[str]
 
 def cross_view_cases(listings: DataFrame, images: DataFrame, catalog: DataFrame) -> DataFrame:
     """(id, image_path, relevant_id): for catalog products of no split or test, the first other image of their listing that is known."""
-    wanted = catalog.where("split is null or split = 'test'").select(F.col("id").alias("relevant_id"), F.element_at(F.split("id", ":", 2), -1).alias("item_id"))
+    wanted = catalog.where(F.coalesce(X.plain_split(F.col("split")), F.lit("test")) == "test").select(F.col("id").alias("relevant_id"), F.element_at(F.split("id", ":", 2), -1).alias("item_id"))
     others = listings.select("item_id", F.posexplode("other_image_id").alias("pos", "image_id")).join(images.select("image_id", "path"), "image_id")
     first = others.groupBy("item_id").agg(F.min(F.struct("pos", "path")).alias("m"))
     return first.join(wanted, "item_id").select(F.concat(F.lit("cross-view-"), "relevant_id").alias("id"), F.col("m.path").alias("image_path"), "relevant_id")
@@ -112,6 +146,11 @@ def anchor_mismatch(pairs: DataFrame, key: str, query: str, document: str) -> Da
     return lacking.join(hit, "k", "left").select(F.col("k").alias(key), "missing", F.coalesce("foreign", F.lit(False)).alias("foreign"))
 
 
+def attribute_rows(rows: DataFrame, key: str = "id", attributes: str = "attributes") -> DataFrame:
+    """(key, attribute, value) of each attribute that isn't null or empty."""
+    return rows.select(F.col(key), F.explode(F.map_filter(attributes, lambda k, v: F.coalesce(v, F.lit("")) != "")).alias("key", "value"))
+
+
 def combine(tables: list[DataFrame]) -> DataFrame:
     """All rows of tables with the same columns."""
     return reduce(DataFrame.unionByName, tables)

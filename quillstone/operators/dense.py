@@ -18,6 +18,8 @@ from quillstone.operators.ranking import top_k
 from quillstone.session import spread
 
 BLOCK = 4096
+#: A k that cuts nothing off.
+ALL = (1 << 31) - 1
 #: Bytes of packed queries that are sent to all tasks at once, at most.
 SENT = 64 << 20
 #: Rows, about, that meet a query in one bucket of random projections.

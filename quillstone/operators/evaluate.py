@@ -62,6 +62,25 @@ def recall_of_kinds(truth: DataFrame, found: dict[str, DataFrame], least: float)
     return kinds.join(met, "kind", "left").crossJoin(sizes).select("kind", "queries", (F.coalesce("met", F.lit(0)) >= least * F.col("pairs")).alias("enough"))
 
 
+def load_summary(calls: DataFrame, group: list[str], latency: str, failed: Column, started: str) -> DataFrame:
+    """(group, calls, p50, p95, p99, p95_linear, mean, max, errors, rps) of calls: rps is how many a second, from the first start to the
+    last end (started in seconds, latency in milliseconds); null if that takes no time."""
+    timed = latency_summary(calls, group, latency)
+    span = F.max(F.col(started) + F.col(latency) / 1000) - F.min(started)
+    rates = calls.groupBy(*group).agg(F.count_if(failed).alias("errors"), F.try_divide(F.count(F.lit(1)), span).alias("rps"))
+    return timed.join(rates, group)
+
+
+def unscored(items: DataFrame, scores: DataFrame, key: str) -> DataFrame:
+    """The items that have no score yet, so that an interrupted run goes on where it stopped."""
+    return items.join(scores.select(key), key, "left_anti")
+
+
+def best_run(runs: DataFrame, group: list[str], measure: str, tie: str) -> DataFrame:
+    """The run of each group with the highest measure; of equal ones that with the lowest tie. A null measure counts as 0."""
+    return runs.groupBy(*group).agg(F.max_by(F.struct(*[c for c in runs.columns if c not in group]), F.struct(F.coalesce(measure, F.lit(0)), -F.col(tie))).alias("r")).select(*group, "r.*")
+
+
 def bootstrap(values: DataFrame, value: str, resamples: int = 2000, seed: int = 20260907) -> DataFrame:
     """One row (mean, low, high): the mean and its 95 % interval over Poisson resamples.
 

@@ -40,5 +40,5 @@ def with_row_number(rows: DataFrame, order: Sequence[Column], name: str) -> Data
 
 
 def hashed_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows without replacement, the same for the same keys and seed."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows without replacement, the same for the same keys and seed: those with the lowest hashes."""
+    return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)

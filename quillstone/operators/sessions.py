@@ -115,6 +115,17 @@ def context_windows(turns: DataFrame, usable: int, keep: int = 6, session: str =
     return grouped.mapInPandas(run, "session_id string, kept long, dropped long, tokens long, original_tokens long")
 
 
+def window_statistics(windows: DataFrame, usable: int) -> DataFrame:
+    """Adds ratio (tokens kept over tokens before, 4 decimals; 1 if there were none), compressed, and over (whether the window is too large)."""
+    ratio = F.round(F.coalesce(F.try_divide("tokens", "original_tokens"), F.lit(1.0)), 4)
+    return windows.withColumns({"ratio": ratio, "compressed": F.col("tokens") < F.col("original_tokens"), "over": F.col("tokens") > usable})
+
+
+def over_budget(head: Column, last_turn: Column, usable: int) -> Column:
+    """Whether a head and the last turn alone take more tokens than there are."""
+    return X.estimate_tokens(head) + X.estimate_tokens(last_turn) > usable
+
+
 def versioned_save(store: DataFrame, updates: DataFrame, key: str = "session_id") -> DataFrame:
     """The store(key, version, …) after updates(key, read_version, …): an update counts only if the stored version is the
     one that was read; of several that do, the smallest by all columns. New keys were read as version 0."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.operators.dense import exact_search
+
 COLOURS = ("白色", "黑色", "灰色", "蓝色", "红色", "绿色", "橙色", "米色")
 STYLES = ("简约", "复古", "运动", "通勤", "户外", "商务")
 
@@ -48,3 +51,20 @@ def vectors(spark: SparkSession, n: int, dim: int = 32, clusters: int = 16, spre
             yield pa.record_batch([batch.column(0), pa.array((ids % clusters).astype(np.int32)), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], names=["vec_id", "cluster", "vector"])
 
     return spark.range(n).mapInArrow(run, "vec_id long, cluster int, vector array<float>")
+
+
+def corpus_truth(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, rank, vec_id, score): the exact answers to queries(query_id, vector) over a corpus(vec_id, …, vector)."""
+    return exact_search(corpus.select("vec_id", "vector"), queries.select("query_id", "vector"), k, "cosine")
+
+
+def hash_vector(text: str | None, dim: int) -> np.ndarray:
+    """A unit vector that a text alone determines, the same in every process."""
+    seed = int.from_bytes(hashlib.sha256((text or "").encode()).digest()[:8], "big") % (1 << 32)
+    x = np.random.default_rng(seed).normal(size=dim).astype(np.float32)
+    return x / max(np.linalg.norm(x), 1e-12)
+
+
+def hash_vectors(texts: Column, dim: int = 32) -> Column:
+    """hash_vector() of each text."""
+    return F.arrow_udf(lambda t: pa.array([hash_vector(x, dim).tolist() for x in t.to_pylist()], pa.list_(pa.float32())), "array<float>")(texts)

@@ -76,22 +76,25 @@ def first_relevant(spark, d):
     return _ranks(spark, d).select("query_id", "first_rank")
 
 
-@query("localized_pick_B15_B16", "select id, case when coalesce(title, '') <> '' then title when row_id % 3 <> 0 and coalesce(category, '') <> '' then category else '' end as picked from products")
+@query("localized_pick_B15_B16", "select id, case when coalesce(title, '') <> '' then title when row_id % 3 <> 0 and coalesce(category, '') <> '' then category else '' end as picked, case when row_id % 5 = 0 then (case when coalesce(source, '') <> '' then source else '' end) else concat_ws(' ', case when row_id % 3 <> 0 then nullif(category, '') end, nullif(title, '')) end as joined from products")
 def localized(spark, d):
     entry = lambda tag, value: F.struct(F.lit(tag).alias("language_tag"), value.alias("value"))
     values = F.array(entry("en_US", F.when(F.col("row_id") % 3 != 0, F.col("category"))), entry("zh_CN", F.col("title")))
-    return table(spark, d, "products").select("id", X.localized_pick(values, ["zh_CN", "en_US"]).alias("picked"))
+    # Where no value is in one of the languages, the join falls back to what the pick takes.
+    others = F.when(F.col("row_id") % 5 == 0, F.array(entry("de_DE", F.col("source")))).otherwise(values)
+    languages = ["zh_CN", "en_US"]
+    return table(spark, d, "products").select("id", X.localized_pick(values, languages).alias("picked"), X.localized_join(others, languages).alias("joined"))
 
 
 @query("resumable_scores_Q10", "select doc_id, n_chars from documents where doc_id not in (select doc_id from documents where doc_id % 4 = 0)")
 def resumable(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "n_chars")
-    return rows.join(rows.where("doc_id % 4 = 0").select("doc_id"), "doc_id", "left_anti")
+    return evaluate.unscored(rows, rows.where("doc_id % 4 = 0"), "doc_id")
 
 
-@query("best_run_Q13", "select event_type, first(event_id order by value desc, event_id) as best from events group by event_type")
+@query("best_run_Q13", "select event_type, first(event_id order by value desc nulls last, event_id) as best from events group by event_type")
 def best_run(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("best"))
+    return evaluate.best_run(table(spark, d, "events").select("event_type", "event_id", "value"), ["event_type"], "value", "event_id").select("event_type", F.col("event_id").alias("best"))
 
 
 @query("top_by_category_F12", "select category, id, rank from (select category, id, row_number() over (partition by category order by price desc nulls last, row_id) as rank, 1 + length(category) % 4 as k from products where category is not null) where rank <= k")

@@ -42,9 +42,11 @@ def inventory_unknown(spark, d):
     return table(spark, d, "inventory").select("product_id").where("product_id is not null").distinct().join(table(spark, d, "products").select(F.col("id").alias("product_id")), "product_id", "left_anti")
 
 
-@query("compare_products_J11", "with r as (select doc_id as request_id, list_concat([product_id], [product_id]) as ids from documents where doc_id % 20 = 0), e as (select request_id, unnest(ids) as id, generate_subscripts(ids, 1) as pos from r) select request_id, pos::bigint as pos, p.id, p.title, p.price from e join products p using (id)")
+@query("compare_products_J11", "with r as (select a.doc_id as request_id, [a.product_id, b.product_id] as ids from documents a join documents b on b.doc_id = a.doc_id + 1), e as (select request_id, unnest(ids) as id, generate_subscripts(ids, 1) as pos from r) select request_id, pos::bigint as pos, p.id, p.title, p.price from e join products p using (id)")
 def compare_products(spark, d):
-    asked = table(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("request_id"), F.posexplode(F.array("product_id", "product_id")).alias("pos", "id"))
+    rows = table(spark, d, "documents")
+    following = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("product_id").alias("other"))
+    asked = rows.join(following, "doc_id").select(F.col("doc_id").alias("request_id"), F.posexplode(F.array("product_id", "other")).alias("pos", "id"))
     return asked.join(table(spark, d, "products"), "id").select("request_id", (F.col("pos") + 1).cast("long").alias("pos"), "id", "title", "price")
 
 
@@ -59,7 +61,11 @@ def category_counts(spark, d):
     return table(spark, d, "products").groupBy("category").agg(F.count(F.lit(1)).alias("products"), F.countDistinct("source").alias("sources"), F.round(F.sum(F.round(F.col("price") * 100)) / F.count("price") / 100, 6).alias("mean_price"), F.round(F.percentile("price", 0.5), 4).alias("median_price"))
 
 
-@query("dataset_summary_E13", "select count(*) as products, count(distinct image_sha256) as images, count(image_sha256) - count(distinct image_sha256) as repeated_images, count(*) filter (split = 'train') as train, count(*) filter (split = 'validation') as validation, count(*) filter (split = 'test') as test from products")
+SPLIT = "(case when lower(trim(split)) in ('val', 'valid', 'dev', 'validation') then 'validation' else lower(trim(split)) end)"
+IMAGE = r"nullif(regexp_replace(lower(trim(image_sha256)), '^sha256:\s*', ''), '')"
+
+
+@query("dataset_summary_E13", f"select count(*) as products, count(distinct {IMAGE}) as images, count({IMAGE}) - count(distinct {IMAGE}) as repeated_images, count(*) filter ({SPLIT} = 'train') as train, count(*) filter ({SPLIT} = 'validation') as validation, count(*) filter ({SPLIT} = 'test') as test from products")
 def dataset_summary(spark, d):
     return dataset.summary(table(spark, d, "products"), "id", "image_sha256", "split")
 
@@ -84,7 +90,7 @@ def interleave(spark, d):
     return ranking.interleave(table(spark, d, "products").select("id", "category", "row_id"), "category", [F.asc("row_id")]).select("id", "turn", "place")
 
 
-@query("seeded_sample_F15")
+@query("seeded_sample_F15", "select id, title from products order by md5('7|' || id), id limit 100")
 def seeded_sample(spark, d):
     return ranking.hashed_sample(table(spark, d, "products").select("id", "title"), "id", 100, 7)
 
@@ -96,10 +102,11 @@ def equispaced(spark, d):
     return rows.join(F.broadcast(steps), "row_id").select("id", "row_id")
 
 
-@query("disjoint_G9", "select id from products where split = 'train' intersect select id from products where split = 'test'")
+@query("disjoint_G9", f"select {IMAGE} as image from products where {SPLIT} = 'train' and {IMAGE} is not null intersect select {IMAGE} from products where {SPLIT} = 'test'")
 def disjoint(spark, d):
-    rows = table(spark, d, "products")
-    return dataset.disjoint(rows.where("split = 'train'"), rows.where("split = 'test'"), "id")
+    """The pictures that stand in the way of train and test being disjoint."""
+    rows = table(spark, d, "products").withColumn("image", X.plain_hash(F.col("image_sha256"))).where("image is not null")
+    return dataset.disjoint(dataset.of_split(rows, "train"), dataset.of_split(rows, "test"), "image")
 
 
 @query("recent_documents_F16", "select product_id, doc_id from documents where product_id is not null qualify row_number() over (partition by product_id order by ingested_at desc nulls last, doc_id desc) <= 5")
@@ -124,9 +131,12 @@ def tool_metrics(spark, d):
     return timed.join(replayed, "event_type").select("event_type", "calls", "replayed", F.round("mean", 6).alias("mean"), "p95", "max")
 
 
-@query("bootstrap_ci_E21")
+# The resamples are random; where their limits must lie, about, isn't.
+@query("bootstrap_ci_E21", "select round(avg(rating), 6) as mean, true as around, true as wide from products where rating is not null")
 def bootstrap(spark, d):
-    return evaluate.bootstrap(table(spark, d, "products").where("rating is not null"), "rating")
+    rows = table(spark, d, "products").where("rating is not null")
+    found = evaluate.bootstrap(rows, "rating").crossJoin(rows.agg((2 * 1.96 * F.stddev("rating") / F.sqrt(F.count("rating"))).alias("normal")))
+    return found.select(F.round("mean", 6).alias("mean"), ((F.col("low") < F.col("mean")) & (F.col("mean") < F.col("high"))).alias("around"), F.col("high").__sub__(F.col("low")).between(0.85 * F.col("normal"), 1.15 * F.col("normal")).alias("wide"))
 
 
 def _turns(spark, d):
@@ -145,9 +155,15 @@ def session_slots(spark, d):
     return sessions.slots(_turns(spark, d))
 
 
-@query("session_fold_L2")
+FOLD = r"""turns as (select (cast(split_part(id, '-', 2) as bigint) // 10)::varchar as session_id, cast(split_part(id, '-', 2) as bigint) % 10 as turn, coalesce(regexp_extract_all(query, '(?i)\b([a-z][a-z0-9]*-\d{2,})\b', 1), []) as ids from planner_test),
+named as (select session_id, id, min(turn * 1000 + i) as place from (select session_id, turn, unnest(ids) as id, generate_subscripts(ids, 1) as i from turns) group by all),
+seen as (select session_id, string_agg(id, ',' order by place) as seen from named group by session_id)
+select t.session_id, count(*) as turns, coalesce(any_value(s.seen), '') as seen from turns t left join seen s using (session_id) group by t.session_id"""
+
+
+@query("session_fold_L2", f"with {FOLD}")
 def session_fold(spark, d):
-    return sessions.fold_sessions(_turns(spark, d))
+    return sessions.fold_sessions(_turns(spark, d)).select("session_id", "turns", F.array_join("seen", ",").alias("seen"))
 
 
 @query("context_window_L3")
@@ -194,12 +210,16 @@ def events_windowed(spark, d):
     return feeds.windowed_counts(table(spark, d, "events"), "ts", "event_type").withColumn("total", F.round("total", 6))
 
 
-@query("synthetic_catalog_O3")
+@query("synthetic_catalog_O3", "select 10000 as rows, 10000 as ids, 10 as categories, true as priced, true as rated, true as stocked")
 def synthetic_catalog(spark, d):
-    return synthetic.catalog(spark, 10_000)
+    """A log-normal price has the median exp(6) and 16 % of its mass above exp(6.8)."""
+    made = synthetic.catalog(spark, 10_000)
+    middle = F.percentile_approx("price", 0.5, 10_000).between(385.0, 423.0) & F.avg((F.col("price") > 897.85).cast("double")).between(0.145, 0.175)
+    rated = (F.min("rating") >= 3.5) & (F.max("rating") <= 5) & F.avg("rating").between(4.23, 4.27)
+    return made.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("product_id").alias("ids"), F.countDistinct("category").alias("categories"), middle.alias("priced"), rated.alias("rated"), ((F.min("stock") == 0) & (F.max("stock") == 199)).alias("stocked"))
 
 
-@query("synthetic_vectors_O1")
+@query("synthetic_vectors_O1", "select vec_id, vec_id % 16 as cluster, 1.0 as norm from range(2000) t(vec_id)")
 def synthetic_vectors(spark, d):
     return synthetic.vectors(spark, 2_000).select("vec_id", "cluster", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("norm"))
 
@@ -209,13 +229,3 @@ def versioned_save(spark, d):
     store = table(spark, d, "inventory").where("product_id is not null").groupBy("product_id").agg(F.min("stock").alias("stock")).select(F.col("product_id"), F.lit(1).alias("version"), "stock")
     updates = table(spark, d, "products").where("stock is not null").select(F.col("id").alias("product_id"), (F.col("row_id") % 2).cast("int").alias("read_version"), "stock")
     return sessions.versioned_save(store, updates, "product_id")
-
-
-@query("searchable_lengths_M2", "select category, sum(length(title))::bigint as chars, count(*) as n from products group by category")
-def searchable_lengths(spark, d):
-    return table(spark, d, "products").groupBy("category").agg(F.sum(F.length("title")).alias("chars"), F.count(F.lit(1)).alias("n"))
-
-
-@query("tokens_per_source_Q6", r"select lower(trim(source)) as source, count(*) as documents, sum(length(text))::bigint as chars from documents group by 1")
-def tokens_per_source(spark, d):
-    return table(spark, d, "documents").groupBy(F.lower(X.strip(F.col("source"))).alias("source")).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("text")).alias("chars"))

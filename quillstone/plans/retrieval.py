@@ -175,12 +175,6 @@ def rerank_table(spark, d):
     return fusion.rerank_by_table(bm25(spark, d, 30), baseline(spark, d).withColumnRenamed("score", "table_score"), 10)
 
 
-@query("rerank_model_H22")
-def rerank_model(spark, d):
-    coarse = bm25(spark, d, 30).join(asked(spark, d), "query_id").join(documents(spark, d).select("doc_id", "text"), "doc_id")
-    return fusion.rerank_by_model(coarse, "query", "text", fusion.overlap_scorer, 10)
-
-
 @query(
     "candidate_window_E26",
     f"""{BOTH}, truth as (select query_id, doc_id from baseranked where rank <= 5), w as (select unnest([1, 5, 10, 25, 50]) as "window")

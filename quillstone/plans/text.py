@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
-from quillstone.operators import planner
+from quillstone.operators import dataset, planner
 from quillstone.plans.registry import query
 from quillstone.session import table
 
 ATTRIBUTES = "coalesce(array_to_string([concat_ws(' ', e.key, e.value) for e in map_entries(attributes)], ' '), '')"
 SEARCHABLE = f"lower(concat_ws(' ', title, category, description, nullif({ATTRIBUTES}, '')))"
+# The patterns of functions/text.py in SQL.
 LATIN, HAN = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*", r"[\x{4e00}-\x{9fff}]"
 WIDE = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]"
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -27,6 +28,7 @@ def tokens_sql(text: str) -> str:
     return f"coalesce(regexp_extract_all(lower({text}), '{HAN}|[a-z0-9]+'), [])"
 
 
+# The patterns and words of functions/text.py, which results depend on, in SQL.
 BUDGET = r"""coalesce(nullif(regexp_extract(query, '(\d+(?:\.\d+)?)\s*元\s*(?:以内|以下|之内)', 1), ''),
   nullif(regexp_extract(query, '预算\s*(?:为|是|不超过|低于)?\s*(\d+(?:\.\d+)?)', 1), ''),
   nullif(regexp_extract(query, '(?:不超过|低于|小于)\s*(\d+(?:\.\d+)?)\s*元?', 1), ''))::double"""
@@ -107,8 +109,7 @@ def idempotency_key(spark, d):
 
 @query("attribute_map_B18", "select id, e.key as key, e.value as value from (select id, unnest(map_entries(attributes)) as e from products) where e.value is not null and e.value <> ''")
 def attribute_map(spark, d):
-    rows = table(spark, d, "products").select("id", F.explode(F.map_filter("attributes", lambda k, v: F.coalesce(v, F.lit("")) != "")).alias("key", "value"))
-    return rows
+    return dataset.attribute_rows(table(spark, d, "products"))
 
 
 @query("plan_queries_K1", f"with {PLANS} select id, intent, max_price, category from plans")

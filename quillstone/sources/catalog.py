@@ -7,9 +7,12 @@ import os
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.session import scratch
+
 CATALOG = "id string, title string, category string, description string, price double, attributes map<string,string>, image_path string, rating double, stock int, source string, license string, split string, image_sha256 string"
 QUERIES = "query_id long, query string, image_ref string, max_price double, category string, top_k int, excluded_product_ids array<string>"
 LOCALIZED = "array<struct<language_tag:string,value:string>>"
@@ -105,20 +108,20 @@ def read_image_vectors(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), described("content").alias("descriptor"))
 
 
-def write_npy_vectors(spark: SparkSession, path: str, ids: DataFrame, target: str) -> DataFrame:
-    """Turns a matrix of a .npy file, row i for row_id i of ids, into Parquet rows (…, vector); counts must agree."""
+def write_npy_vectors(spark: SparkSession, path: str, ids: DataFrame, target: str, rows_at_once: int = 65_536) -> DataFrame:
+    """Turns a matrix of a .npy file of the driver, row i for row_id i of ids, into Parquet rows (…, vector); counts must agree.
+
+    The driver reads the file piece by piece, as it alone has to see it, and writes a Parquet part for each piece.
+    """
     matrix = np.load(path, mmap_mode="r")
     if matrix.ndim != 2 or ids.count() != matrix.shape[0]:
         raise ValueError("the matrix needs one row for each id")
-    rows = matrix.shape[0]
-
-    def run(batches):
-        local = np.load(path, mmap_mode="r")
-        for frame in batches:
-            yield pd.DataFrame({"row_id": frame["id"], "vector": list(np.asarray(local[frame["id"].to_numpy()], np.float32))})
-
-    table = spark.range(rows).mapInPandas(run, "row_id long, vector array<float>")
-    ids.join(table, "row_id").write.mode("overwrite").parquet(target)
+    with scratch(spark) as at:
+        for first in range(0, max(1, len(matrix)), rows_at_once):
+            part = np.asarray(matrix[first : first + rows_at_once], np.float32)
+            table = pa.table({"row_id": pa.array(np.arange(first, first + len(part))), "vector": pa.array(list(part), pa.list_(pa.float32()))})
+            spark.createDataFrame(table).coalesce(1).write.mode("append").parquet(at)
+        ids.join(spark.read.parquet(at), "row_id").write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
 
@@ -138,15 +141,30 @@ def last_seq(changes: DataFrame) -> DataFrame:
     return changes.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last_seq"))
 
 
-def write_report(rows: DataFrame, path: str) -> None:
-    """A result of up to 1,000 rows as a Markdown table on the driver; a longer one is an error."""
-    frame = rows.limit(1001).toPandas()
-    if len(frame) > 1000:
-        raise ValueError("a report has 1,000 rows at most")
-    lines = ["| " + " | ".join(map(str, frame.columns)) + " |", "|" + "---|" * len(frame.columns), *("| " + " | ".join(map(str, r)) + " |" for r in frame.itertuples(index=False))]
+def write_report(rows: DataFrame, path: str, at_most: int = 1000) -> None:
+    """A result as a Markdown table in a file of the driver, written row by row; one of more than at_most rows is an error."""
+    if rows.limit(at_most + 1).count() > at_most:
+        raise ValueError(f"a report has {at_most:,} rows at most; write a longer result as a table")
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as file:
-        file.write("\n".join(lines) + "\n")
+        for line in (rows.columns, ["---"] * len(rows.columns), *rows.toLocalIterator()):
+            file.write("| " + " | ".join(map(str, line)) + " |\n")
+
+
+def write_cases(cases: DataFrame, path: str) -> None:
+    """Benchmark cases as JSON lines, with the columns of CASES; nulls are written, so that every line has every field."""
+    names = [f.strip().split(" ")[0] for f in CASES.split(",")]
+    cases.select(*names).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def encoding_statistics(items: DataFrame, cache: DataFrame, batch: int = 64) -> DataFrame:
+    """One row (items, distinct_texts, cached, hit_rate, batches, mean_batch) of what encode_missing() has to do."""
+    texts = items.where("text is not null").select(F.sha2("text", 256).alias("content")).distinct()
+    held = texts.join(cache.select("content").distinct().withColumn("__c", F.lit(1)), "content", "left")
+    found = held.agg(F.count(F.lit(1)).alias("distinct_texts"), F.count("__c").alias("cached"))
+    open_texts = F.col("distinct_texts") - F.col("cached")
+    batches = F.ceil(open_texts / batch)
+    return items.agg(F.count(F.lit(1)).alias("items")).crossJoin(found).select("items", "distinct_texts", "cached", F.try_divide("cached", "distinct_texts").alias("hit_rate"), batches.alias("batches"), F.try_divide(open_texts, batches).alias("mean_batch"))
 
 
 def encode_missing(items: DataFrame, cache: DataFrame, encode, dim: int) -> DataFrame:

@@ -74,14 +74,20 @@ def stream_sessions(turns: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
 
 def windowed_counts(events: DataFrame, time: str, group: str, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
-    """(start, group, n, total) of tumbling windows; rows later than the watermark are dropped, streamed or not."""
-    marked = events.withWatermark(time, late) if events.isStreaming else events
-    return marked.groupBy(F.window(time, window).alias("w"), group).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), group, "n", "total")
+    """(start, group, n, total) of tumbling windows. In a stream, rows later than the watermark may be dropped; a table has no late rows."""
+    marked = _timed(events, time).withWatermark(time, late) if events.isStreaming else events
+    counts = marked.groupBy(F.window(time, window).alias("w"), group).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return counts.select(F.col("w.start").cast(events.schema[time].dataType).alias("start"), group, "n", "total")
+
+
+def _timed(events: DataFrame, time: str) -> DataFrame:
+    """Event times as instants, which watermarks need."""
+    return events.withColumn(time, F.col(time).cast("timestamp"))
 
 
 def deduplicated(events: DataFrame, key: str, time: str, late: str = "10 minutes") -> DataFrame:
     """Each key once within the watermark of a stream, or once at all in a table."""
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+    return _timed(events, time).withWatermark(time, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
 def run_to_memory(stream: DataFrame, spark: SparkSession, name: str, mode: str, checkpoint: str) -> DataFrame:
@@ -90,3 +96,16 @@ def run_to_memory(stream: DataFrame, spark: SparkSession, name: str, mode: str,
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
+
+
+def run_to_table(stream: DataFrame, mode: str, at: str) -> DataFrame:
+    """Runs a stream over what is there now, and returns what it wrote to the folder at: the last batch of a complete result,
+    all batches of one that is appended to."""
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/{0 if mode == 'complete' else number}")
+
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("recursiveFileLookup", True).schema(stream.schema).parquet(f"{at}/out")
