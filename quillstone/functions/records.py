@@ -47,8 +47,8 @@ def public_trace(trace: Column) -> Column:
 
 
 def plain_number(x: Column) -> Column:
-    """A number without trailing zeros, at most six significant digits below a million."""
-    short = F.format_string("%.6f", x)
+    """A number with up to six decimals, without trailing zeros; null stays null."""
+    short = F.when(x.isNotNull(), F.format_string("%.6f", x))
     return F.regexp_replace(F.regexp_replace(short, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 

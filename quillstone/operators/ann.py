@@ -171,7 +171,7 @@ def _asked(queries: DataFrame, max_value: Column | None) -> DataFrame:
 
 def _sample(rows: DataFrame, n: int, size: int) -> np.ndarray:
     chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(min(1.0, size / max(1, n)) * (1 << 20)) + 1).orderBy("id")
-    return unit(np.array([r["v"] for r in chosen.select("v").collect()], np.float64).reshape(-1, 0 if not n else len(rows.first()["v"])))
+    return unit(np.array([r["v"] for r in chosen.select("v").collect()], np.float64)) if n else np.zeros((0, 0))
 
 
 def _placer(centroids: np.ndarray):

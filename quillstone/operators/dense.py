@@ -29,7 +29,7 @@ BUCKET = 256
 def matrix(column: pa.Array) -> np.ndarray:
     """The rows of a column of lists of one length."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1).astype(np.float64)
+    return flat.reshape(len(column), -1 if len(column) else 0).astype(np.float64)
 
 
 def unit(x: np.ndarray) -> np.ndarray:

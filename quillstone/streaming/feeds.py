@@ -70,7 +70,7 @@ class SessionProcessor(StatefulProcessor):
 
 def stream_sessions(turns: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """(session_id, turns, seen, excluded) after each batch of a streamed turns(session_id, turn, text); needs the RocksDB state store."""
-    return turns.groupBy("session_id").transformWithStateInPandas(SessionProcessor(ttl_ms), "session_id string, turns long, seen array<string>, excluded array<string>", "Update", "None")
+    return turns.groupBy("session_id").transformWithStateInPandas(SessionProcessor(ttl_ms), "session_id string, turns long, seen array<string>, excluded array<string>", "Update", "ProcessingTime" if ttl_ms else "None")
 
 
 def windowed_counts(events: DataFrame, time: str, group: str, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
