@@ -76,12 +76,23 @@ def p4_found(spark, d):
     return nearest.neighbour_pairs(nearest.nearest(table(spark, d, "vectors")))
 
 
-@_query
+_P8 = """text as (select doc_id, text from documents where doc_id is not null and length(text) >= 200),
+pieces as (select doc_id, i - 1 as s, substr(text, i, 200) as x from (select doc_id, text, unnest(range(1, length(text) - 198)) as i from text)),
+twice as (select x from pieces group by x having min(doc_id) <> max(doc_id)),
+hits as (select distinct doc_id, s from pieces join twice using (x)),
+marked as (select doc_id, s, coalesce(s - lag(s) over (partition by doc_id order by s) > 200, true)::int as new from hits),
+islands as (select doc_id, s, sum(new) over (partition by doc_id order by s) as island from marked),
+spans as (select doc_id, min(s)::int as start_char, max(s)::int + 200 as end_char from islands group by doc_id, island)"""
+
+
+@_with_sql(f"with {_P8} select * from spans")
 def p8_found(spark, d):
     return spans.shared_spans(table(spark, d, "documents"))
 
 
-@_query
+@_with_sql(
+    f"with {_P8}, one as (select doc_id, sum(end_char - start_char) as shared_chars, count(*) as n_spans from spans group by doc_id) select d.doc_id, length(d.text) as n_chars, coalesce(shared_chars, 0)::bigint as shared_chars, coalesce(n_spans, 0) as n_spans, case when length(d.text) > 0 then coalesce(shared_chars, 0) / length(d.text) end as share from documents d left join one using (doc_id)"
+)
 def p8_shares(spark, d):
     return spans.shared_shares(table(spark, d, "documents"))
 
