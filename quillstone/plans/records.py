@@ -90,8 +90,8 @@ _RUNS = """runs as (select doc_id, case when doc_id % 3 = 0 then [product_id] el
 
 @query(
     "run_metrics_E18_N4",
-    f"""with {_RUNS} select count(*) as cases, count(*) filter (len(relevant) > 0) as retrieval_cases, case when count(*) filter (len(relevant) > 0) > 0 then 1.0 end as retrieval,
-  avg((coalesce(source, '') = 'review')::int) as tool, avg((n_chars <= 300)::int) as "constraint", avg((len(wanted) = 0 or doc_id % 2 = 0)::int) as task, 2.0 as calls, round(count(*) filter (lang is null or lang <> 'en') / (2.0 * count(*)), 9) as invalid_calls,
+    f"""with {_RUNS} select count(*) as cases, count(*) filter (len(relevant) > 0) as retrieval_cases, case when count(*) filter (len(relevant) > 0) > 0 then 1.0::double end as retrieval,
+  avg((coalesce(source, '') = 'review')::int) as tool, avg((n_chars <= 300)::int) as "constraint", avg((len(wanted) = 0 or doc_id % 2 = 0)::int) as task, 2.0::double as calls, round(count(*) filter (lang is null or lang <> 'en') / (2.0 * count(*)), 9) as invalid_calls,
   count(*) filter (len(cited) > 0) as citation_cases, round((count(*) filter (len(cited) > 0 and doc_id % 2 = 0)) / (count(*) filter (len(cited) > 0)), 9) as citation from runs""",
 )
 def run_metrics(spark, d):

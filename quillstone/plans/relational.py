@@ -219,7 +219,7 @@ def synthetic_catalog(spark, d):
     return made.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("product_id").alias("ids"), F.countDistinct("category").alias("categories"), middle.alias("priced"), rated.alias("rated"), ((F.min("stock") == 0) & (F.max("stock") == 199)).alias("stocked"))
 
 
-@query("synthetic_vectors_O1", "select vec_id, vec_id % 16 as cluster, 1.0 as norm from range(2000) t(vec_id)")
+@query("synthetic_vectors_O1", "select vec_id, vec_id % 16 as cluster, 1.0::double as norm from range(2000) t(vec_id)")
 def synthetic_vectors(spark, d):
     return synthetic.vectors(spark, 2_000).select("vec_id", "cluster", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("norm"))
 
