@@ -8,7 +8,6 @@ added up before and after the shuffle.
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
 from quillstone.operators.ranking import top_k
-from quillstone.session import cut, spread
+from quillstone.session import Files, cut, spread
 
 K1, B = 1.5, 0.75
 #: Query terms up to this number are sent to all tasks; more are joined by a shuffle.
@@ -33,17 +32,15 @@ class Index:
     stats: DataFrame
 
     def save(self, path: str) -> None:
-        """Parquet tables and a description in a folder (of a file system that the driver sees for the description)."""
+        """Parquet tables and, last, a description in a folder of any file system that Spark reads."""
         for name in ("postings", "terms", "docs", "stats"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        with open(os.path.join(path, "index.json"), "w", encoding="utf-8") as file:
-            json.dump({"kind": "bm25", "format": 1}, file)
+        Files(path, self.postings.sparkSession).write(json.dumps({"kind": "bm25", "format": 1}), "index.json")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
-        with open(os.path.join(path, "index.json"), encoding="utf-8") as file:
-            if json.load(file).get("kind") != "bm25":
-                raise ValueError("not a BM25 index")
+        if json.loads(Files(path, spark).read("index.json")).get("kind") != "bm25":
+            raise ValueError("not a BM25 index")
         return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "docs", "stats")))
 
 

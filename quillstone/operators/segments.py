@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.ranking import exact_quantiles
 
-def _inner_edges(value: Column, buckets: int) -> Column:
-    edges = F.array_distinct(F.percentile(value, F.array(*(F.lit(i / buckets) for i in range(buckets + 1)))))
+
+def _inner_edges(quantiles: Column) -> Column:
+    edges = F.array_distinct(quantiles)
     return F.when(F.size(edges) > 2, F.slice(edges, F.lit(2), F.size(edges) - 2)).otherwise(F.array().cast("array<double>"))
 
 
@@ -17,7 +19,7 @@ def _bucket(edges: Column, value: Column) -> Column:
 
 def by_value(rows: DataFrame, value: str, buckets: int) -> DataFrame:
     """Adds segment: the number of inner quantile edges up to the value. Null values have a null segment."""
-    edges = rows.agg(_inner_edges(F.col(value).cast("double"), buckets).alias("__edges"))
+    edges = exact_quantiles(rows, value, [i / buckets for i in range(buckets + 1)]).select(_inner_edges(F.col("quantiles")).alias("__edges"))
     return rows.crossJoin(F.broadcast(edges)).withColumn("segment", F.when(F.col(value).isNotNull(), _bucket(F.col("__edges"), F.col(value)))).drop("__edges")
 
 
@@ -28,7 +30,8 @@ def by_category(rows: DataFrame, category: str) -> DataFrame:
 
 def by_category_and_value(rows: DataFrame, category: str, value: str, buckets: int) -> DataFrame:
     """Adds segment: category#bucket, by quantiles within the category."""
-    edges = rows.where(F.col(value).isNotNull()).groupBy(F.lower(category).alias("__c")).agg(_inner_edges(F.col(value).cast("double"), buckets).alias("__edges"))
+    quantiles = F.percentile(F.col(value).cast("double"), F.array(*(F.lit(i / buckets) for i in range(buckets + 1))))
+    edges = rows.where(F.col(value).isNotNull()).groupBy(F.lower(category).alias("__c")).agg(_inner_edges(quantiles).alias("__edges"))
     named = rows.join(edges, F.lower(category) == F.col("__c"), "left")
     return named.withColumn("segment", F.concat_ws("#", "__c", _bucket(F.col("__edges"), F.col(value)))).drop("__c", "__edges")
 

@@ -3,54 +3,51 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.operators.changefeed import apply_changes
+from quillstone.session import Files
 
 POINTER, MANIFEST = "CURRENT", "manifest.json"
 
 
 class Versions:
-    """A root folder with versions v1, v2, …; readers see the version that CURRENT names. The root is on a shared file system."""
+    """A root folder with versions v1, v2, …; readers see the version that CURRENT names. The root is on any file system that Spark reads."""
 
     def __init__(self, root: str) -> None:
-        self.root = Path(root)
+        self.root = root.rstrip("/")
+
+    @property
+    def files(self) -> Files:
+        return Files(self.root)
 
     def all(self) -> list[int]:
         """Version numbers, complete or not."""
-        return sorted(int(p.name[1:]) for p in self.root.glob("v*") if p.name[1:].isdigit())
+        return sorted(int(name[1:]) for name in self.files.names() if name[:1] == "v" and name[1:].isdigit())
 
     def path(self, version: int) -> str:
-        return str(self.root / f"v{version}")
+        return f"{self.root}/v{version}"
 
     def current(self) -> int | None:
-        pointer = self.root / POINTER
-        return int(pointer.read_text().strip()[1:]) if pointer.exists() else None
+        return int(self.files.read(POINTER).strip()[1:]) if self.files.exists(POINTER) else None
 
     def write(self, tables: dict[str, DataFrame], note: dict | None = None) -> int:
         """A new version; its manifest, written last, makes it complete."""
         version = max(self.all(), default=0) + 1
-        folder = Path(self.path(version))
-        folder.mkdir(parents=True)
         counts = {}
         for name, df in tables.items():
-            df.write.parquet(f"{folder}/{name}")
-            counts[name] = df.sparkSession.read.parquet(f"{folder}/{name}").count()
-        (folder / MANIFEST).write_text(json.dumps({"version": version, "tables": counts, **(note or {})}, sort_keys=True), encoding="utf-8")
+            df.write.parquet(f"{self.path(version)}/{name}")
+            counts[name] = df.sparkSession.read.parquet(f"{self.path(version)}/{name}").count()
+        self.files.write(json.dumps({"version": version, "tables": counts, **(note or {})}, sort_keys=True), f"v{version}", MANIFEST)
         return version
 
     def verify(self, version: int) -> dict:
         """The manifest; an error if the version is missing or incomplete."""
-        folder = Path(self.path(version))
-        manifest = folder / MANIFEST
-        if not manifest.exists():
+        if not self.files.exists(f"v{version}", MANIFEST):
             raise ValueError(f"version {version} is missing or incomplete")
-        found = json.loads(manifest.read_text(encoding="utf-8"))
-        lost = [t for t in found["tables"] if not (folder / t / "_SUCCESS").exists()]
+        found = json.loads(self.files.read(f"v{version}", MANIFEST))
+        lost = [t for t in found["tables"] if not self.files.exists(f"v{version}", t, "_SUCCESS")]
         if lost:
             raise ValueError(f"version {version} lacks {', '.join(lost)}")
         return found
@@ -58,9 +55,7 @@ class Versions:
     def promote(self, version: int) -> None:
         """Points readers to a verified version."""
         self.verify(version)
-        new = self.root / f"{POINTER}.new"
-        new.write_text(f"v{version}")
-        os.replace(new, self.root / POINTER)
+        self.files.write(f"v{version}", POINTER)
 
     def rollback(self) -> int:
         """Points readers to the complete version before the current one."""
@@ -77,7 +72,7 @@ class Versions:
         """Removes all but the last keep versions and the current one."""
         gone = [v for v in self.all()[: -keep or None] if v != self.current()]
         for version in gone:
-            shutil.rmtree(self.path(version))
+            self.files.remove(f"v{version}")
         return gone
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:

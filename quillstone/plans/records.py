@@ -103,7 +103,7 @@ def run_metrics(spark, d):
         F.when(even, when(7, F.col("product_id"))).otherwise(when(7, F.lit("none"))).alias("expected_ids"),
         F.when(even, F.array(F.lit("x-1"))).otherwise(F.array(F.lit("y-2"))).alias("citations"),
         when(5, F.lit("x-1")).alias("expected_citations"),
-        F.array(F.struct(F.coalesce("source", F.lit("")).alias("tool"), F.lit(None).cast("string").alias("error")), F.struct(F.lit("en").alias("tool"), F.when(F.coalesce("lang", F.lit("")) != "en", "invalid_arguments").alias("error"))).alias("trace"),
+        F.array(F.struct(F.when(F.col("source") == "review", "review").otherwise("other").alias("tool"), F.lit(None).cast("string").alias("error")), F.struct(F.lit("en").alias("tool"), F.when(F.coalesce("lang", F.lit("")) != "en", "invalid_arguments").alias("error"))).alias("trace"),
         F.lit("review").alias("expected_tool"),
         F.lit("fine").alias("answer"),
         F.array(F.lit("fin")).alias("expected_fragments"),
@@ -111,8 +111,7 @@ def run_metrics(spark, d):
         F.col("n_chars").cast("double").alias("highest_price"),
         F.col("n_chars").cast("double").alias("latency_ms"),
     )
-    tools = ["en", "", *sorted(r["source"] for r in _documents(spark, d).select("source").where("source is not null").distinct().limit(10_000).collect())]
-    found = agents.run_metrics(runs, tools)
+    found = agents.run_metrics(runs, ["en", "review", "other"])
     return found.select("cases", "retrieval_cases", "retrieval", "tool", "constraint", "task", "calls", F.round("invalid_calls", 9).alias("invalid_calls"), "citation_cases", F.round("citation", 9).alias("citation"))
 
 

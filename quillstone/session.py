@@ -42,7 +42,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     """Removes a folder of any file system that Spark reads, if it is there."""
     try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -51,10 +51,57 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+class Files:
+    """Small files and folders below a root, on any file system that Spark reads."""
+
+    def __init__(self, root: str, spark: SparkSession | None = None) -> None:
+        self.root, self.spark = root.rstrip("/"), spark or SparkSession.active()
+        self.java = self.spark._jvm
+
+    def _at(self, *parts: str):
+        at = self.java.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def exists(self, *parts: str) -> bool:
+        at, files = self._at(*parts)
+        return files.exists(at)
+
+    def names(self) -> list[str]:
+        """What lies directly below the root."""
+        at, files = self._at()
+        return [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+
+    def read(self, *parts: str) -> str:
+        at, files = self._at(*parts)
+        stream = files.open(at)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write(self, text: str, *parts: str) -> None:
+        """A whole file that appears in one step and replaces what was there."""
+        at, files = self._at(*parts)
+        new, _ = self._at(*parts[:-1], f".{parts[-1]}.{uuid.uuid4().hex}")
+        stream = files.create(new, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        option = self.java.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+        over = self.spark.sparkContext._gateway.new_array(self.java.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = next(x for x in option.getEnumConstants() if x.name() == "OVERWRITE")
+        self.java.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration()).rename(new, at, over)
+
+    def remove(self, *parts: str) -> None:
+        at, files = self._at(*parts)
+        files.delete(at, True)
+
+
 def fresh_folder(spark: SparkSession, kind: str) -> str:
     """A new folder under the checkpoint folder; it is removed when the process ends."""
     path = f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
@@ -65,7 +112,7 @@ def scratch(spark: SparkSession) -> Iterator[str]:
     try:
         yield path
     finally:
-        _remove(spark, path)
+        remove(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:

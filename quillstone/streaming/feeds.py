@@ -15,6 +15,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from quillstone.operators.changefeed import DELETE_OP, plain, replay, valid_changes
 from quillstone.operators.sessions import Slots
+from quillstone.session import remove
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -30,6 +31,8 @@ def stream_changes(changes: DataFrame, state_path: str, checkpoint: str):
         prior = spark.read.parquet(f"{state_path}/{number - 1}") if number else None
         feed = valid_changes(batch).select("product_id", "seq", "log_pos", plain(F.col("op")).alias("op"))
         replay(feed, "product_id", F.col("op") != DELETE_OP, prior=prior).write.mode("overwrite").parquet(f"{state_path}/{number}")
+        if number > 1:  # a batch that is run again needs the state before its own, and none before that
+            remove(spark, f"{state_path}/{number - 2}")
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -203,3 +203,11 @@ def test_synthetic_data_is_seeded(spark, rows):
     assert rows(a) == rows(synthetic.catalog(spark, 50, 1).repartition(3)) != rows(b)
     v = np.array([r["vector"] for r in synthetic.vectors(spark, 40, spread=0.0).orderBy("vec_id").collect()])
     assert np.allclose(np.linalg.norm(v, axis=1), 1, atol=1e-5) and np.allclose(v[0], v[16], atol=1e-6)
+
+
+@pytest.mark.parametrize("values", [[], [3.0], [1.0, 2.0], [5.0, 1.0, 1.0, None, 9.0, 2.5, 2.5, 2.5], [float(i * 37 % 101) for i in range(500)]])
+def test_exact_quantiles(spark, values):
+    fractions = [0, 0.125, 0.5, 0.9, 1]
+    data = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    want = np.quantile([v for v in values if v is not None], fractions).tolist() if values else []
+    assert ranking.exact_quantiles(data, "x", fractions).first()["quantiles"] == pytest.approx(want)
