@@ -100,7 +100,8 @@ class PackedIndex:
         named = spread(docs).select(number.cast("long").alias("number"), terms.alias("terms"), lone(value, "double").alias("value"), lone(category, "string").alias("category"), lone(segment, "string").alias("segment")).where("number is not null")
         if segment is not None:
             named = named.repartitionByRange("segment", F.xxhash64("number")).sortWithinPartitions("segment")
-        return PackedIndex._of(written(named.mapInArrow(_pack, BLOCKS)))
+        index = PackedIndex._of(written(named.mapInArrow(_pack, BLOCKS)))
+        return PackedIndex(index.blocks, written(index.terms), written(index.stats))
 
     @staticmethod
     def _of(blocks: DataFrame) -> PackedIndex:

@@ -9,7 +9,7 @@ from quillstone.operators import evaluate, fusion, lexical, packed, segments
 from quillstone.operators.ranking import top_k
 from quillstone.plans.registry import query
 from quillstone.plans.text import SEARCHABLE, terms_sql, tokens_sql
-from quillstone.session import fresh_folder, kept, table
+from quillstone.session import fresh_folder, kept, table, written
 
 # The stated query set: every row whose number is divisible by 20, against all rows.
 ASKED = "asked as (select cast(split_part(id, '-', 2) as bigint) as query_id, query from planner_test where cast(split_part(id, '-', 2) as bigint) % 20 = 0)"
@@ -246,20 +246,20 @@ def segment_prune(spark, d):
 select query_id, row_number() over (partition by query_id order by score desc, row_id) as rank, doc_id, score from fits qualify rank <= 10""",
 )
 def segmented_search(spark, d):
-    products = table(spark, d, "products").where("price is not null")
-    placed = segments.by_value(products, "price", 8)
-    alive = segments.surviving(segments.statistics(placed, "price", "category"), _limits(spark, d)).withColumn("segment", F.col("segment").cast("string"))
-
     def build():
+        products = table(spark, d, "products").where("price is not null")
+        placed = segments.by_value(products, "price", 8)
         rows = documents(spark, d).join(placed.select(F.col("id").alias("doc_id"), "segment"), "doc_id")
-        return packed.PackedIndex.build(rows, F.col("row_id"), X.analyze(F.col("text")), F.col("value"), F.col("category"), F.col("segment"))
+        index = packed.PackedIndex.build(rows, F.col("row_id"), X.analyze(F.col("text")), F.col("value"), F.col("category"), F.col("segment"))
+        return index, written(segments.statistics(placed, "price", "category").withColumn("segment", F.col("segment").cast("string")))
 
-    built = kept(spark, f"{d}/products.parquet", "segmented", build)
+    # A plan of segments and their statistics belong to the index; a query only chooses among them.
+    built, stats = kept(spark, f"{d}/products.parquet", "segmented", build)
     # Statistics of terms are those of the whole catalog.
     whole = packed_index(spark, d, X.analyze)
     index = packed.PackedIndex(built.blocks, whole.terms, whole.stats)
     none = _limits(spark, d).withColumn("excluded", F.lit(None).cast("array<long>"))
-    return named(spark, d, packed.search(index, wanted(spark, d, X.analyze), 10, limits=none, routes=alive))
+    return named(spark, d, packed.search(index, wanted(spark, d, X.analyze), 10, limits=none, routes=segments.surviving(stats, _limits(spark, d))))
 
 
 @query("segment_index_round_trip_I4_A8", f"{BM25}, {LIMITS}, fits as (select s.query_id, s.doc_id, s.score, d.row_id from scores s join docs d using (doc_id) join limits l using (query_id) where d.price <= l.max_value and (l.category = '' or contains(lower(d.category), l.category))) select query_id, row_number() over (partition by query_id order by score desc, row_id) as rank, doc_id, score from fits qualify rank <= 10")

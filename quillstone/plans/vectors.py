@@ -9,7 +9,7 @@ from quillstone.functions import vectors as V
 from quillstone.operators import ann, dense, evaluate
 from quillstone.operators.ranking import top_k
 from quillstone.plans.registry import query
-from quillstone.session import cut, scratch, table
+from quillstone.session import cut, kept, scratch, table
 
 USABLE = """vec as (select vec_id, product_id, dimension, vectors::double[] as v from vectors where vectors is not null and len(vectors) = dimension and dimension > 0
   and len([x for x in vectors if x is null or not isfinite(x)]) = 0 and len([x for x in vectors if x <> 0]) > 0)"""
@@ -115,14 +115,28 @@ def rerank_exact(spark, d):
     return dense.rerank_exact(dense.exact_search(rows, asked, 40, "l2"), rows, asked, 10)
 
 
+def _index(spark, d, kind: str, recall: float, **how) -> tuple[ann.AnnIndex, int]:
+    """An index of the embeddings and how many lists to probe; built once for a session and state of the table."""
+    rows, asked = _embeddings(spark, d)
+
+    def build():
+        index = ann.AnnIndex.build(rows, kind, **how)
+        return index, ann.enough_probes(index, rows, asked, 10, recall)
+
+    return kept(spark, f"{d}/embeddings.parquet", f"ann-{kind}", build)
+
+
 @query("ivf_topk_H7")
 def ivf(spark, d):
-    return ann.ivf_search(*_embeddings(spark, d), 10)
+    index, probes = _index(spark, d, "ivf", 0.95)
+    return index.search(_embeddings(spark, d)[1], 10, probes)
 
 
 @query("ivfpq_rerank_H8")
 def ivfpq(spark, d):
-    return ann.pq_search(*_embeddings(spark, d), 10)
+    rows, asked = _embeddings(spark, d)
+    index, probes = _index(spark, d, "ivfpq", 0.98, segments=32)
+    return index.search(asked, 10, probes, candidates=200, vectors=rows)
 
 
 @query("lsh_topk_H9")
@@ -135,7 +149,7 @@ def ann_recall(spark, d):
     """Whether each approximate search finds at least 0.9 of the exact top 10."""
     rows, asked = _embeddings(spark, d)
     truth = dense.exact_search(rows, asked, 10, "cosine").select("query_id", "vec_id")
-    found = {"ivf": ann.ivf_search(rows, asked, 10), "ivfpq": ann.pq_search(rows, asked, 10), "lsh": dense.lsh_search(rows, asked, 10)}
+    found = {"ivf": ivf(spark, d), "ivfpq": ivfpq(spark, d), "lsh": lsh(spark, d)}
     return evaluate.recall_of_kinds(truth, found, 0.9)
 
 
