@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators.dense import BLOCK, HITS, Best, best, clean, exact_search, matrix, ranked, rerank_exact, unit
+from quillstone.operators.dense import BLOCK, HITS, SENT, Best, best, clean, exact_search, matrix, ranked, rerank_exact, unit
 from quillstone.session import cut, written
 
 #: Lists, at most, and sampled rows for each; the sample has at most their product.
@@ -145,9 +145,13 @@ class AnnIndex:
 
     def hits(self, queries: DataFrame, k: int, low: int, high: int) -> DataFrame:
         """(query_id, vec_id, score): the best k of each of queries(id, vector, max_value) in its lists low to high, by nearness."""
+        if not self.manifest.dimension:  # an index of nothing
+            return queries.sparkSession.createDataFrame([], HITS)
         asked = queries.toDF("id", "v", "most").where("id is not null and v is not null and size(v) > 0").select(F.col("id").cast("long"), F.col("v").cast("array<double>"), F.col("most").cast("double"))
         probed = asked.mapInArrow(_prober(self.centroids, low, high), "list int, qids binary, qx binary, most binary")
-        pairs = self.blocks.join(probed, "list").select("ids", "value", "x", "list", "qids", "qx", "most")
+        # Queries in all the lists they probe are sent to all tasks if they are few; a plan can't tell by itself.
+        size = asked.count() * (min(high, self.manifest.lists) - low) * 8 * self.manifest.dimension
+        pairs = self.blocks.join(F.broadcast(probed) if size <= SENT else probed.hint("merge"), "list").select("ids", "value", "x", "list", "qids", "qx", "most")
         return pairs.mapInArrow(_list_scorer(k, self.manifest.dimension, self.centroids, self.books), HITS)
 
     def search(self, queries: DataFrame, k: int = 10, probes: int = 32, max_value: Column | None = None, candidates: int = 500, vectors: DataFrame | None = None) -> DataFrame:

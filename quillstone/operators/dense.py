@@ -209,6 +209,8 @@ def lsh_search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int
         return run
 
     blocks = lambda of, kind, near, *names: of.withColumn("v", F.col("v").cast("array<float>" if kind == "<f4" else "array<double>")).mapInArrow(coder(kind, near), "d int, cell long, ids binary, x binary").toDF("d", "cell", *names)
-    pairs = blocks(rows, kinds[1], False, "ri", "rx").join(blocks(asked, kinds[0], True, "qi", "qx"), ["d", "cell"])
+    most = max((tables * (b + 1) * 8 * d for d, b in of.items()), default=0)
+    probed = blocks(asked, kinds[0], True, "qi", "qx")
+    pairs = blocks(rows, kinds[1], False, "ri", "rx").join(F.broadcast(probed) if asked.count() * most <= SENT else probed.hint("merge"), ["d", "cell"])
     found = pairs.select("qi", "qx", "ri", "rx", "d").mapInArrow(_scorer(k, "cosine", 4, kinds), HITS)
     return ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)

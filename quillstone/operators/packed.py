@@ -205,7 +205,7 @@ def search(index: PackedIndex, wanted: DataFrame, k: int, how: str = "bm25", dec
     by = ["chunk"]
     if routes is not None:
         terms, by = terms.join(routes, "query_id"), ["segment", "chunk"]
-    chunks = 1 + wanted.count() // ENTRIES
+    chunks = 1 + terms.count() // ENTRIES
     chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks)).alias("chunk")
     packed = terms.withColumn("chunk", chunk).groupBy(*by).agg(F.collect_list(F.struct("query_id", "term", "qtf", "idf", "scale")).alias("entries"))
     if limits is not None:
@@ -214,12 +214,17 @@ def search(index: PackedIndex, wanted: DataFrame, k: int, how: str = "bm25", dec
     else:
         packed = packed.withColumn("limits", F.lit(None).cast("array<struct<query_id:long,max_value:double,category:string,excluded:array<long>>>"))
     packed = packed.withColumn("limits", F.coalesce("limits", F.array().cast("array<struct<query_id:long,max_value:double,category:string,excluded:array<long>>>")))
+    blocks, on = index.blocks, []
+    if routes is not None:
+        on = ["part" if "part" in blocks.columns else "segment"]
+        packed = packed.withColumnRenamed("segment", on[0])
     if chunks == 1:
-        packed = F.broadcast(packed)
-    if routes is not None and "part" in index.blocks.columns:
-        pairs = index.blocks.join(packed.withColumnRenamed("segment", "part"), "part")
-    else:
-        pairs = index.blocks.join(packed, "segment") if routes is not None else index.blocks.crossJoin(packed)
+        pairs = blocks.join(F.broadcast(packed), on) if on else blocks.crossJoin(F.broadcast(packed))
+    else:  # each pair of a part of the blocks and a chunk is a key of its own
+        parts = max(1, blocks.rdd.getNumPartitions())
+        blocks = blocks.withColumn("deal", F.pmod(F.xxhash64("ids"), F.lit(parts))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).cast("long"))
+        packed = packed.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long")).withColumn("chunk", F.col("chunk").cast("long"))
+        pairs = blocks.join(packed.hint("merge"), [*on, "deal", "chunk"])
     pairs = pairs.crossJoin(stats.select("avgdl")).select("ids", "dl", "value", "category", "categories", "terms", "df", "rows", "tf", "entries", "limits", "avgdl")
     found = pairs.mapInArrow(_scorer(k, how, decimals, k1, b), "query_id long, number long, score double")
     return top_k(found, ["query_id"], [F.desc("score"), F.asc("number")], k).select("query_id", "rank", "number", "score")

@@ -104,6 +104,16 @@ def test_short_queries_probe_on(spark, points):
     assert all(r["exhausted"] and r["matched"] == 3 - (value[r["query_id"]] <= 2) for r in stats.collect())
 
 
+def test_many_queries_meet_by_a_join(spark, points, monkeypatch):
+    data = vectors(spark, points)
+    few = found(ann.AnnIndex.build(data, "ivf", lists=12).search(data.where("id % 50 = 0"), 7, probes=12))
+    hashed = found(dense.lsh_search(data, data.where("id % 50 = 0"), 7))
+    monkeypatch.setattr(ann, "SENT", 1)
+    monkeypatch.setattr(dense, "SENT", 1)
+    assert found(ann.AnnIndex.build(data, "ivf", lists=12).search(data.where("id % 50 = 0"), 7, probes=12)) == few
+    assert found(dense.lsh_search(data, data.where("id % 50 = 0"), 7)) == hashed
+
+
 def test_a_union_keeps_the_best_score(spark, rows):
     data = [[(1, 5, 0.3), (1, 6, 0.2)], [(1, 5, 0.7)], [(2, 5, 0.1)]]
     made = [spark.createDataFrame(d, "query_id long, vec_id long, score double") for d in data]
@@ -174,5 +184,8 @@ def test_packed_overlap_and_chunks(spark, monkeypatch):
     got = packed.overlap_search(inverted(spark), asked(spark, "red lamp", "blue", "zzz"), 5)
     best = {r["query_id"]: (r["number"], r["score"]) for r in got.where("rank = 1").collect()}
     assert best == {0: (1, 1.0), 1: (3, 1.0)} and got.where("query_id = 0").count() == 4
+    routes = spark.createDataFrame([(0, "high"), (1, "low")], "query_id long, segment string")
+    routed = packed.search(inverted(spark, F.when(F.col("n") < 3, "low").otherwise("high")), asked(spark, "red lamp", "lamp", "blue"), 5, routes=routes)
+    assert sorted((r["query_id"], r["number"]) for r in routed.collect()) == [(0, 3), (0, 7), (1, 1)]
     none = spark.createDataFrame(DOCS, "n long, t string, p double, c string").limit(0)
     assert packed.search(packed.PackedIndex.build(none, F.col("n"), F.split("t", " ")), asked(spark, "red"), 3).count() == 0
