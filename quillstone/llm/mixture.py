@@ -228,7 +228,8 @@ def filled_blocks(corpus: Corpus, parts: list[Part], seed: int = 5) -> DataFrame
     """(mix_id, shard, slot, at, doc_id, start_token, n_tokens): the content of mixed_blocks(), joined by index. One source's blocks
     are spread over all tasks, as the block number is part of the key."""
     blocks = mixed_blocks(corpus, parts, seed).select("mix_id", "shard", "slot", "source", "block_no")
-    return blocks.join(block_parts(corpus), ["source", "block_no"]).select("mix_id", "shard", "slot", "at", "doc_id", "start_token", "n_tokens")
+    # A plan knows nothing of how many blocks a shard makes, so it must not choose to broadcast them.
+    return blocks.hint("merge").join(block_parts(corpus), ["source", "block_no"]).select("mix_id", "shard", "slot", "at", "doc_id", "start_token", "n_tokens")
 
 
 def repeats(block: np.ndarray, blocks: np.ndarray, drawn: np.ndarray, key: np.ndarray) -> np.ndarray:
