@@ -222,8 +222,8 @@ def search(index: PackedIndex, wanted: DataFrame, k: int, how: str = "bm25", dec
         pairs = blocks.join(F.broadcast(packed), on) if on else blocks.crossJoin(F.broadcast(packed))
     else:  # each pair of a part of the blocks and a chunk is a key of its own
         parts = max(1, blocks.rdd.getNumPartitions())
-        blocks = blocks.withColumn("deal", F.pmod(F.xxhash64("ids"), F.lit(parts))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).cast("long"))
-        packed = packed.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long")).withColumn("chunk", F.col("chunk").cast("long"))
+        blocks = blocks.withColumn("deal", F.pmod(F.xxhash64("ids"), F.lit(parts))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+        packed = packed.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).withColumn("chunk", F.col("chunk").cast("long"))
         pairs = blocks.join(packed.hint("merge"), [*on, "deal", "chunk"])
     pairs = pairs.crossJoin(stats.select("avgdl")).select("ids", "dl", "value", "category", "categories", "terms", "df", "rows", "tf", "entries", "limits", "avgdl")
     found = pairs.mapInArrow(_scorer(k, how, decimals, k1, b), "query_id long, number long, score double")
