@@ -149,15 +149,15 @@ def _confusable_letters(icu) -> tuple[tuple[str, str], ...]:
     letters = [x for x in letters if not unicodedata.decomposition(x) and _script(x) not in SCRIPTS]
     like = icu.SpoofChecker.Builder().build().getSkeleton("\n".join(letters)).split("\n")
     # The data has one skeleton for I, l, 1 and |: upper-case letters go with I, others with l.
-    return tuple((x, "I" if y == "l" and unicodedata.category(x) == "Lu" else y) for x, y in zip(letters, like) if len(y) == 1 and y.isascii() and y.isalpha())
+    return tuple((x, "I" if y == "l" and unicodedata.category(x) == "Lu" else y) for x, y in zip(letters, like, strict=True) if len(y) == 1 and y.isascii() and y.isalpha())
 
 
 def shapes(spark: SparkSession) -> Shapes:
-    """The shapes of all scripts; those of SCRIPTS alone if the session has no ICU library."""
+    """The shapes of all scripts. Without the ICU library there are none, and forms by SCRIPTS alone would look like whole ones, so that is an error."""
     try:
         return _shapes(_confusable_letters(spark._jvm.com.ibm.icu.text))
-    except (TypeError, AttributeError):  # not on the class path, or no gateway to it
-        return DEFAULT
+    except (TypeError, AttributeError) as missing:  # not on the class path, or no gateway to it
+        raise RuntimeError("look-alike forms need the ICU library (icu4j) on the driver's class path and a session with a gateway to it") from missing
 
 
 def _resolve_cjk(match: regex.Match) -> str:

@@ -67,6 +67,18 @@ def test_shapes_of_other_scripts(spark):
     assert pickle.loads(pickle.dumps(all_scripts)) is all_scripts
 
 
+def test_shapes_without_the_library_are_an_error(spark):
+    class Without:  # a package that isn't on the class path can't be called
+        _jvm = type("Jvm", (), {"com": spark._jvm.none})()
+
+    class NoGateway:
+        pass
+
+    for session in (Without(), NoGateway()):
+        with pytest.raises(RuntimeError, match="ICU"):
+            lookalike.shapes(session)
+
+
 def test_large_classes_are_paired_in_parts(spark, monkeypatch):
     monkeypatch.setattr(lookalike, "PAIRED", 7)
     data = [(f"{i:03}", "ab" if i % 3 else "a\u200bb") for i in range(60)] + [("900", "other")]
