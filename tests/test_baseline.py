@@ -52,3 +52,9 @@ def test_rerank_scores_its_candidates_alone(spark, monkeypatch):
 
     monkeypatch.setattr(baseline.Baseline, "scores", whole)
     assert QUERIES["rerank_score_table_J7"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_all_scores_are_not_shuffled(spark):
+    plan = QUERIES["lexical_score_H1"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    scored = plan[: plan.index("Scan parquet")]  # from the result down to the blocks of documents
+    assert "MapInArrow" in scored and "Exchange" not in scored and "Window" not in scored
