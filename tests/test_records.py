@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 from quillstone import session
 from quillstone.functions import records as R
 from quillstone.functions import text as X
-from quillstone.operators import agents, dataset, evaluate, fusion, sessions, synthetic
+from quillstone.operators import agents, dataset, evaluate, fusion, lexical, sessions, synthetic
+from quillstone.operators.hybrid import Hybrid
+from quillstone.plans import QUERIES
 from quillstone.sources import catalog
 from quillstone.streaming import feeds
 
@@ -145,3 +147,18 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError, match="shar"):
         session.checkpoint_dir(Session())
+
+
+def test_hybrid_search_in_blocks(spark):
+    docs = [("a", "red lamp", 0, 4.0, 5.0, "Home"), ("b", "red", 1, 5.0, 20.0, "garden"), ("c", "kettle", 2, 4.5, 8.0, "home"), ("d", None, 3, None, None, None), ("e", "red", 4, 5.0, 5.0, "home"), ("f", "red", None, 5.0, 5.0, "home")]
+    docs = spark.createDataFrame(docs, "doc_id string, text string, row_id long, rating double, value double, category string")
+    pictures = spark.createDataFrame([("b", [1.0, 0.0]), ("c", [-1.0, 0.0]), ("d", [0.6, 0.8]), ("e", [1.0])], "doc_id string, v array<double>")
+    asked = [(1, "red lamp", True, [1.0, 0.0], None, "", None), (2, "red", True, None, 10.0, "HOME", ["a"]), (3, "", False, [2.0, 0.0], None, None, None), (4, "", False, None, None, "home", ["c"]), (5, "none", True, None, None, None, None), (6, "", False, None, None, None, None)]
+    queries = spark.createDataFrame(asked, "query_id long, query string, has_text boolean, qv array<double>, max_value double, category string, excluded array<string>")
+    index = Hybrid.build(docs, X.tokenize, pictures)
+    got = {}
+    for r in index.search(queries, lexical.query_terms(queries, "query_id", X.tokenize(F.col("query"))), 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    assert got == {1: [("a", 0.65), ("b", 0.5921), ("e", 0.2421)], 2: [("e", 0.65), ("f", 0.65)], 3: [("b", 1.0), ("d", 0.6), ("c", 0.0)], 4: [("e", 1.0), ("f", 1.0), ("a", 0.8)], 6: [("b", 1.0), ("e", 1.0), ("f", 1.0)]}
+    plan = QUERIES["hybrid_search_H2"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" not in plan  # no tables of all scores are joined
